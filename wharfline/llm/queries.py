@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wharfline.llm import decontaminate, simhash
+from wharfline.llm import decontaminate, html_extract, line_dedup, packing, pii, quality, secret_scan, simhash, warc
 from wharfline.sources.tables import table
 
 
@@ -22,14 +22,85 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.histories(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op10_simhash": op10_simhash}
+QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_pii": op2_pii,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_secret_scan": op4_secret_scan,
+    "op5_packing": op5_packing,
+    "op6_quality": op6_quality,
+    "op7_html": op7_html,
+    "op9_warc": op9_warc,
+    "op10_simhash": op10_simhash,
+}
 
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _secret_sql() -> str:
+    """Matches and the pieces between them give the places, as in the operator."""
+    word = lambda w: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w)
+    names = "|".join(word(w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+    kinds = (
+        ("assign", rf"""({names})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+        ("access", "AKIA[A-Z0-9]+", 0, 16),
+        ("hex", "[0-9a-f]{32,}", 0, 32),
+        ("token", "[A-Za-z0-9+/_-]{24,}", 0, 24),
+    )
+    parts = " UNION ALL ".join(
+        f"""SELECT r, source, {k} AS kind, '{name}' AS name, v[i] AS value, CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a, length(m[i]) AS n
+            FROM (SELECT r, source, regexp_extract_all(t, '{q}') AS m, regexp_extract_all(t, '{q}', {g}) AS v, regexp_split_to_array(t, '{q}') AS p FROM d) AS s, unnest(generate_series(1, len(m))) AS u(i) WHERE length(v[i]) >= {least}"""
+        for k, (name, q, g, least) in enumerate(kinds)
+    )
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+        s AS ({parts}),
+        c AS (SELECT * FROM s WHERE kind < 3 OR (regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND len(list_distinct(string_split(value, ''))) >= 12
+              AND NOT EXISTS (SELECT 1 FROM s AS b WHERE b.r = s.r AND b.kind < 3 AND b.a < s.a + s.n AND s.a < b.a + b.n))),
+        o AS (SELECT value, count(DISTINCT coalesce('=' || source, '')) AS owners FROM c GROUP BY value),
+        j AS (SELECT c.*, owners <= 1 AS live, name || ':' || a || ':' || (a + n) AS w FROM c JOIN o USING (value)),
+        g AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+                     string_agg(w, ',' ORDER BY a, kind) FILTER (kind < 3) AS base, string_agg(w, ',' ORDER BY a, kind) FILTER (kind < 3 OR live) AS spans,
+                     count(*) FILTER (kind = 3 AND live) AS n_token, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example FROM j GROUP BY r)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+               coalesce(spans, '') AS spans, coalesce(n_token, 0) AS n_token, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+        FROM d LEFT JOIN g USING (r)"""
+
+
 ORACLE_SQL = {
     "op1_decontaminate": rf"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id,
@@ -46,4 +117,33 @@ ORACLE_SQL = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN nh USING (r) LEFT JOIN ni USING (r)""",
+    "op3_line_dedup": """
+        WITH raw AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+        l AS (SELECT r, doc_id, no, trim(ls[no], ' ') AS line FROM raw, unnest(generate_series(1, len(ls))) AS s(no) WHERE trim(ls[no], ' ') <> ''),
+        u AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY no) AS k, length(line) - length(replace(line, ' ', '')) + 1 AS c FROM l),
+        f AS (SELECT *, count(*) OVER (PARTITION BY r ORDER BY k ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS n,
+                     list(line) OVER (PARTITION BY r ORDER BY k ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS seq,
+                     sum(c) OVER (PARTITION BY r ORDER BY k ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) AS s2,
+                     sum(c) OVER (PARTITION BY r ORDER BY k ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS s3,
+                     sum(c) OVER (PARTITION BY r ORDER BY k ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS s4,
+                     sum(c) OVER (PARTITION BY r ORDER BY k ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS s5 FROM u),
+        z AS (SELECT *, CASE WHEN c >= 25 THEN 1 WHEN s2 >= 25 THEN 2 WHEN s3 >= 25 THEN 3 WHEN s4 >= 25 THEN 4 WHEN s5 >= 25 THEN 5 WHEN n = 6 THEN 6 END AS size FROM f),
+        w AS (SELECT r, k, size, row_number() OVER (PARTITION BY array_to_string(seq[1:size], chr(10)) ORDER BY doc_id, k) AS nth FROM z WHERE size IS NOT NULL),
+        gone AS (SELECT DISTINCT r, x AS k FROM w, unnest(generate_series(k, k + size - 1)) AS s(x) WHERE nth > 1),
+        gone_no AS (SELECT r, no FROM gone JOIN u USING (r, k)),
+        kept AS (SELECT r, string_agg(ls[no], chr(10) ORDER BY no) AS t FROM (SELECT r, ls, no FROM raw, unnest(generate_series(1, len(ls))) AS s(no)) ANTI JOIN gone_no USING (r, no) GROUP BY r)
+        SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(t, '') END AS text,
+               coalesce(a.n, 0) AS n_lines, coalesce(b.n, 0) AS n_removed
+        FROM raw LEFT JOIN kept USING (r) LEFT JOIN (SELECT r, count(*) AS n FROM u GROUP BY r) a USING (r) LEFT JOIN (SELECT r, count(*) AS n FROM gone GROUP BY r) b USING (r)""",
+    "op4_secret_scan": _secret_sql(),
+    "op9_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+        s AS (SELECT page_id, strlen(t) AS payload_bytes, sha1(t) AS h FROM p),
+        f AS (SELECT h, min(page_id) AS first FROM s GROUP BY h)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+               array_to_string(list_transform(generate_series(0, 31), lambda j:
+                   substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, j // 4 * 5 + 1, 5) AS BIGINT) >> (15 - j % 4 * 5)) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM s JOIN f USING (h)""",
 }

@@ -190,7 +190,7 @@ def links(nodes: DataFrame, max_distance: int = MAX_DISTANCE, hot: int = HOT_VAL
 def components(prints: DataFrame, doc_id: str = "doc_id", name: str = "fingerprint", max_distance: int = MAX_DISTANCE) -> DataFrame:
     """``prints`` and ``component_id``, the least id that its links reach."""
     nodes = materialise(prints.groupBy(F.col(name).alias("fp")).agg(F.min(doc_id).alias("least_id")), "simhash-nodes")
-    roots = connected_components(links(nodes, max_distance))
+    roots = connected_components(materialise(links(nodes, max_distance), "simhash-links"))
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least_id", F.coalesce("component", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = rooted.join(least, "root").select(F.col("fp").alias("__fp"), F.col("root").alias("component_root"), "component_id")
