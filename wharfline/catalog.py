@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wharfline.plans import relational
+from wharfline.plans import connectors, graph, learning, relational, streams, textual
 
-MODULES = (relational,)
+MODULES = (relational, textual, graph, learning, streams, connectors)
 
 
 def queries() -> dict:

@@ -55,3 +55,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def has_format(spark: SparkSession, name: str) -> bool:
+    """Whether a source that ships apart from Spark is on the class path."""
+    source = spark._jvm.org.apache.spark.sql.execution.datasources.DataSource
+    try:
+        source.lookupDataSource(name, spark._jsparkSession.sessionState().conf())
+    except Exception:  # the JVM's exception for an unknown source arrives wrapped
+        return False
+    return True
