@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wharfline.llm import decontaminate, html_extract, line_dedup, packing, pii, quality, secret_scan, simhash, warc
+from wharfline.llm import audio, decontaminate, html_extract, line_dedup, packing, pii, quality, secret_scan, simhash, warc
 from wharfline.sources.tables import table
 
 
@@ -46,6 +46,11 @@ def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(table(spark, sf_dir, "pages"))
 
 
+def op8_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table holds recordings, so every vector is played as one."""
+    return audio.recordings(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", audio.vector_recording)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.histories(table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -63,6 +68,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_quality": op6_quality,
     "op7_html": op7_html,
+    "op8_audio": op8_audio,
     "op9_warc": op9_warc,
     "op10_simhash": op10_simhash,
 }
