@@ -5,15 +5,15 @@ scaled. Over an integral image of these, 16 rectangle filters are slid along
 time; each filter's response is quantised to two bits by thresholds trained
 here, and the 32 bits of a place are packed into one integer.
 
-Recordings with equal fingerprints are one node. Every integer of a node files
-it, with its place and the whole fingerprint, under that integer. What meets
-under an integer is laid side by side at these places, and two nodes are linked
-if their bit error there is ``MAX_ERROR`` at most, over ``MIN_OVERLAP`` places
-at least. Links form a spanning forest of each group rather than all its pairs;
-an integer that many nodes share is split into blocks, each pair of which is a
-unit of its own. Linked nodes are a class, and every recording is aligned with
-its class's least: a histogram of the offsets at which equal integers lie gives
-the offset, and the bit error there is told.
+Recordings with equal fingerprints are one node. Every integer files its node
+and place; under those that several nodes share, the ``REACH`` places to either
+side are fetched and laid side by side. Two nodes are linked if the bit error
+there is ``MAX_ERROR`` at most, over ``MIN_OVERLAP`` places at least. Links form
+a spanning forest of each group rather than all its pairs; an integer that many
+nodes share is split into blocks, each pair of which is a unit of its own.
+Linked nodes are a class, and every recording is aligned with its class's least:
+a histogram of the offsets at which equal integers lie gives the offset, and the
+bit error there is told.
 
 Silent places have no integer, so silence links nothing.
 
@@ -41,11 +41,13 @@ from pyspark.sql import types as T
 from wharfline.plans.components import connected_components
 from wharfline.session import materialise
 
-RATE, FRAME, HOP = 4000, 1024, 512
+RATE, FRAME, HOP = 4000, 2048, 256
 LOW, HIGH = 100.0, 1900.0
 SMOOTH = np.array([0.25, 0.75, 1.0, 0.75, 0.25])
-WIDTH = 12
-MAX_ERROR, MIN_OVERLAP = 0.2, 10
+WIDTH = 24
+MAX_ERROR, MIN_OVERLAP, REACH = 0.15, 10, 12
+#: A frame is silent below this share of the recording's loudest.
+SILENT = 1e-4
 #: Nodes under one integer that one task compares.
 BLOCK = 4096
 #: Recordings whose responses set the thresholds.
@@ -57,7 +59,7 @@ def filters() -> list[tuple[int, int, int, int]]:
     out = []
     for k in range(16):
         height = 2 + 2 * (k % 6 % 5)
-        out.append((k % 5, k * 5 % (13 - height), height, (4, 6, 8, WIDTH)[k // 4]))
+        out.append((k % 5, k * 5 % (13 - height), height, (8, 12, 16, WIDTH)[k // 4]))
     return out
 
 
@@ -114,7 +116,7 @@ def chroma(x: np.ndarray) -> np.ndarray:
         return np.zeros((0, 12))
     smooth = sum(w * energy[i : len(energy) - len(SMOOTH) + 1 + i] for i, w in enumerate(SMOOTH))
     size = np.linalg.norm(smooth, axis=1, keepdims=True)
-    return np.where(size > 1e-2, smooth / np.maximum(size, 1e-12), 0.0)
+    return np.where(size > max(1e-9, SILENT * float(size.max())), smooth / np.maximum(size, 1e-12), 0.0)
 
 
 def responses(image: np.ndarray) -> np.ndarray:
@@ -151,7 +153,7 @@ def tune(values: np.ndarray, seed: int) -> np.ndarray:
     t = np.arange(n) / RATE
     hz = 220 * 2 ** (semitone[:, None] / 12)
     notes = (0.4 * np.sin(2 * np.pi * hz * t) + 0.2 * np.sin(4 * np.pi * hz * t)) * np.hanning(n) ** 0.25
-    start = np.zeros(int(rng.integers(0, 16)) * HOP // 4)
+    start = np.zeros(int(rng.integers(0, RATE // 2)))
     x = np.concatenate((start, notes.ravel()))
     return x + rng.normal(0, 0.002, len(x)) * (x != 0)
 
@@ -249,20 +251,21 @@ def links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
                 codes = [np.frombuffer(c, "<u4") for c in b.column("codes").to_pylist()]
                 row = np.repeat(np.arange(len(codes)), [int((c != 0).sum()) for c in codes])
                 place = np.concatenate([np.flatnonzero(c) for c in codes]) if codes else np.empty(0, np.int64)
                 code = np.concatenate([c[c != 0] for c in codes]) if codes else np.empty(0, np.uint32)
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), b.column("node").take(take), pa.array(place.astype(np.int32)), b.column("codes").take(take)], names=["code", "node", "place", "codes"])
+                yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), b.column("node").take(pa.array(row)), pa.array(place.astype(np.int32))], names=["code", "node", "place"])
 
-    filed = nodes.where(F.length("codes") > 0).mapInArrow(spread, T.StructType([T.StructField("code", T.LongType()), T.StructField("node", kind), T.StructField("place", T.IntegerType()), T.StructField("codes", T.BinaryType())]))
+    filed = nodes.where(F.length("codes") > 0).mapInArrow(spread, T.StructType([T.StructField("code", T.LongType()), T.StructField("node", kind), T.StructField("place", T.IntegerType())]))
     filed = materialise(filed, "audio-codes")
-    counts = filed.groupBy("code").agg(F.count("*").alias("n")).where("n > 1")
-    shared = filed.join(counts, "code").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    counts = filed.groupBy("code").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("code", "n")
+    around = F.expr(f"substring(codes, greatest(place - {REACH}, 0) * 4 + 1, (least(place, {REACH}) + {REACH} + 1) * 4)")
+    shared = filed.join(counts, "code").join(nodes, "node").withColumn("codes", around).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     shared = shared.withColumn("own", F.pmod(F.xxhash64("node", "place"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    shared = shared.withColumn("place", F.least("place", F.lit(REACH)))
     units = shared.select(F.xxhash64("code", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), "node", "place", "codes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
