@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from typing import Any
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -57,6 +59,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship(spark: SparkSession, value: Any) -> Broadcast:
+    """Broadcasts an object of this package's classes, as pickled bytes.
+
+    A plain broadcast names classes, which an executor without this package
+    couldn't import; ``pickle.loads(shipped.value)`` works on any.
+    """
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
 def has_format(spark: SparkSession, name: str) -> bool:
     """Whether a source that ships apart from Spark is on the class path."""
     source = spark._jvm.org.apache.spark.sql.execution.datasources.DataSource
