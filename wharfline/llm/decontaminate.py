@@ -21,6 +21,7 @@ tables give no rows or no hits; other columns are carried along unchanged.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wharfline.session import materialise
+from wharfline.session import materialise, ship
 
 WINDOW = 10
 #: Item text that one pass sends to the executors.
@@ -195,13 +196,13 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) ->
 
 def _pass(docs: DataFrame, text: str, tests: TestSet | None, drop_text: bool) -> DataFrame:
     """Adds what one block of items hits to the columns of the passes before."""
-    shared = docs.sparkSession.sparkContext.broadcast(tests)
+    shared = ship(docs.sparkSession, tests)  # a block of bounded size
     kept = [c for c in docs.columns if c not in ("__words", "__spans", "__items", *([text] if drop_text else []))]
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("__words", T.LongType()), T.StructField("__spans", SPAN), T.StructField("__items", T.ArrayType(T.StringType()))])
     later = "__words" in docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests = shared.value
+        tests = pickle.loads(shared.value)
         vocabulary = tests.vocabulary if tests else {}
         for whole in batches:
             every = whole.column(text).cast(pa.binary()).to_pylist()
@@ -260,10 +261,10 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id
         tests = test_set(rows, window)
         if tests is None:
             continue
-        shared = spark.sparkContext.broadcast(tests)
+        shared = ship(spark, tests)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            tests = shared.value
+            tests = pickle.loads(shared.value)
             item = np.repeat(np.arange(len(tests.ids)), tests.end - tests.begin)
             for whole in batches:
                 every = whole.column("t").cast(pa.binary()).to_pylist()

@@ -24,6 +24,7 @@ gives no rows; other columns are carried by :func:`keep_good` only.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,6 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wharfline.session import ship
+
 WORDS, SHAPES, DIM, NONZERO, REACH = 1 << 13, 1 << 10, 64, 2, 2
 #: Labelled documents that the network is fitted on, at most.
 TRAIN_ROWS = 20_000
@@ -42,6 +45,8 @@ SEED = 11
 HIDDEN, EPOCHS, BATCH = 24, 60, 256
 #: Text whose tokens are counted at once.
 _CHUNK_BYTES = 4 << 20
+#: The same where a vector is fetched for each token.
+_POOL_BYTES = 1 << 17
 _SHAPE = bytes(97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256))
 _MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
@@ -97,12 +102,12 @@ def _add_contexts(total: np.ndarray, ids: np.ndarray, doc: np.ndarray, places: n
                 total += np.bincount(x * DIM + places[y, j], weights=signs[y, j], minlength=len(total)).astype(np.int64)
 
 
-def _chunks(texts: list[bytes | None]) -> Iterator[list[bytes | None]]:
+def _chunks(texts: list[bytes | None], limit: int = _CHUNK_BYTES) -> Iterator[list[bytes | None]]:
     part, size = [], 0
     for t in texts:
         part.append(t)
         size += len(t or b"")
-        if size >= _CHUNK_BYTES:
+        if size >= limit:
             yield part
             part, size = [], 0
     if part:
@@ -144,19 +149,23 @@ def word_vectors(contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         places, signs = index_vectors(n, seed)
         own = np.zeros((n, DIM))
         np.add.at(own, (np.arange(n)[:, None], places), signs / np.sqrt(NONZERO))
-        out.append((v + own).astype(np.float32))
+        out.append(v + own)
     return tuple(out)
 
 
 def pooled(texts: list[bytes | None], vectors: tuple[np.ndarray, np.ndarray], ids: _Ids) -> np.ndarray:
-    """The mean word and shape vector of each text; zero for an empty one."""
-    out = np.zeros((len(texts), 2 * DIM), np.float32)
-    w, s, sizes = _encode(texts, ids)
-    full = np.flatnonzero(sizes)
-    if full.size:
-        starts = (np.cumsum(sizes) - sizes)[full]
-        for k, (v, of) in enumerate(((vectors[0], w), (vectors[1], s))):
-            out[full, k * DIM : (k + 1) * DIM] = np.add.reduceat(v[of], starts, axis=0, dtype=np.float64) / sizes[full, None]
+    """The mean word vector and the mean shape vector of each text; zero for an empty one."""
+    width = vectors[0].shape[1]
+    out = np.zeros((len(texts), 2 * width))
+    at = 0
+    for part in _chunks(texts, _POOL_BYTES):
+        w, s, sizes = _encode(part, ids)
+        full = np.flatnonzero(sizes)
+        if full.size:
+            starts = (np.cumsum(sizes) - sizes)[full]
+            for k, (v, of) in enumerate(((vectors[0], w), (vectors[1], s))):
+                out[at + full, k * width : (k + 1) * width] = np.add.reduceat(v[of], starts, axis=0) / sizes[full, None]
+        at += len(part)
     return out
 
 
@@ -172,12 +181,13 @@ class Network:
     constant: float | None = None
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        return np.tanh(((x - self.mean) / self.scale) @ self.w1 + self.b1) @ self.w2 + self.b2
+        return self.second(((x - self.mean) / self.scale) @ self.w1 + self.b1)
+
+    def second(self, first: np.ndarray) -> np.ndarray:
+        return np.tanh(first) @ self.w2 + self.b2
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        if self.constant is not None:
-            return np.full(len(x), self.constant)
-        return 1 / (1 + np.exp(-np.clip(self.logits(x.astype(np.float64)) / self.temperature, -30, 30)))
+    def probability(self, logits: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(logits / self.temperature, -30, 30)))
 
 
 def fit(x: np.ndarray, y: np.ndarray, seed: int = SEED) -> Network:
@@ -224,11 +234,28 @@ def _held_out(c: F.col) -> F.col:
 
 @dataclass
 class Classifier:
-    vectors: tuple[np.ndarray, np.ndarray]
+    """The network with its first layer applied to each word vector ahead.
+
+    That layer is linear, so the mean of the layer's outputs is its output for
+    the mean vector, and far fewer numbers are summed for a token.
+    """
+
     network: Network
+    layers: tuple[np.ndarray, np.ndarray] | None
+    shift: np.ndarray | None
+
+    @classmethod
+    def of(cls, vectors: tuple[np.ndarray, np.ndarray], net: Network) -> Classifier:
+        if net.constant is not None:
+            return cls(net, None, None)
+        w = net.w1 / net.scale[:, None]
+        return cls(net, (vectors[0] @ w[:DIM], vectors[1] @ w[DIM:]), net.b1 - net.mean @ w)
 
     def score(self, texts: list[bytes | None], ids: _Ids) -> np.ndarray:
-        return self.network.score(pooled(texts, self.vectors, ids)) if texts else np.zeros(0)
+        if self.layers is None:
+            return np.full(len(texts), self.network.constant)
+        both = pooled(texts, self.layers, ids)
+        return self.network.probability(self.network.second(both[:, :HIDDEN] + both[:, HIDDEN:] + self.shift))
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", train_rows: int = TRAIN_ROWS) -> Classifier:
@@ -244,27 +271,26 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                x = pooled(part.column("t").cast(pa.binary()).to_pylist(), vectors, ids)
+                x = pooled(part.column("t").cast(pa.binary()).to_pylist(), vectors, ids).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([part.column("i"), part.column("y"), pa.array([r.tobytes() for r in x], pa.binary())], names=["i", "y", "x"])
 
     got = known.mapInArrow(run, T.StructType([known.schema["i"], known.schema["y"], T.StructField("x", T.BinaryType())])).toArrow()
     rows = sorted(zip(got.column("i").to_pylist(), got.column("y").to_pylist(), got.column("x").to_pylist(), strict=True), key=lambda r: (str(r[0]), r[2]))
     x = np.frombuffer(b"".join(r[2] for r in rows), np.float32).reshape(-1, 2 * DIM)
-    return Classifier(vectors, fit(x, np.array([r[1] for r in rows], np.float64)))
+    return Classifier.of(vectors, fit(x, np.array([r[1] for r in rows], np.float64)))
 
 
 def scored(docs: DataFrame, model: Classifier, text: str = "text", keep_text: bool = False, name: str = "score") -> DataFrame:
     """``docs`` (without its text unless ``keep_text``) and each document's score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = ship(docs.sparkSession, model)  # a fixed number of buckets
     kept = [c for c in docs.columns if keep_text or c != text]
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, ids = shared.value, _Ids()
+        model, ids = pickle.loads(shared.value), _Ids()
         for b in batches:
             texts = b.column(b.num_columns - 1).cast(pa.binary()).to_pylist()
-            parts = [model.score(p, ids) for p in _chunks(texts)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())], names=[*kept, name])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(model.score(texts, ids), pa.float64())], names=[*kept, name])
 
     return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(run, schema)
 
