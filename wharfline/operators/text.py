@@ -69,3 +69,21 @@ def mixed_tokens(line: Column) -> Column:
             F.when(~digits(x), x).alias("s"),
         ),
     )
+
+
+def pipe(df: DataFrame, text: str, command: str) -> DataFrame:
+    """The lines that a process per partition answers to the lines of ``text``."""
+    from pyspark.sql import Row
+
+    lines = df.select(F.coalesce(F.col(text), F.lit(""))).rdd.map(lambda r: r[0]).pipe(command)
+    return df.sparkSession.createDataFrame(lines.map(lambda x: Row(value=x)), "value string")
+
+
+def parse_metrics(df: DataFrame, line: str) -> DataFrame:
+    """(host, latency, rate) of log lines; what a line doesn't tell is null."""
+    found = lambda pattern: F.nullif(F.regexp_extract(line, pattern, 1), F.lit(""))
+    return df.select(
+        F.regexp_extract(line, r"^(\S+)", 1).alias("host"),
+        found(r"Latency ([0-9]+) ms").cast("bigint").alias("latency"),
+        found(r"That's ([0-9.]+) elements/second/core").cast("double").alias("rate"),
+    )

@@ -490,4 +490,31 @@ def extension_rollup(spark, sf_dir):
     return _placed_customers(spark, sf_dir).rollup("r_name", "n_name", "c_mktsegment").agg(F.count("*").alias("n"))
 
 
+@R.query("""WITH a AS (SELECT l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber AS k FROM lineitem)
+    SELECT k, count(*) AS n_left, count(*) AS n_right FROM a GROUP BY k HAVING count(*) <> 1""")
+def composite_key_groups(spark, sf_dir):
+    """Groups on a composite key that aren't one to one; the key's parts are kept apart by a mark."""
+    keyed = table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("k"))
+    return identity_check(keyed, keyed, ["k"])
+
+
+@R.query("SELECT o_orderkey, count(l_orderkey) AS n, coalesce(array_to_string(list(l_linenumber ORDER BY l_linenumber) FILTER (l_linenumber IS NOT NULL), ' '), '') AS lines FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
+def sorted_cogroup(spark, sf_dir):
+    """Both sides of a key together, one of them sorted: grouped first, then joined."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_linenumber")).alias("l"))
+    numbers = F.coalesce("l", F.array().cast("array<int>"))
+    return orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left").select("o_orderkey", F.size(numbers).cast("bigint").alias("n"), F.array_join(numbers.cast("array<string>"), " ").alias("lines"))
+
+
+@R.query("SELECT l_orderkey, l_partkey, l_linenumber, l_quantity, l_returnflag, CAST(day(l_shipdate) AS INTEGER) AS ship_day FROM lineitem")
+def records_from_lines(spark, sf_dir):
+    """Whole delimited lines mapped to typed records."""
+    names = ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag"]
+    line = F.concat_ws("|", *[F.col(c).cast("string") for c in names], F.date_format(F.col("l_shipdate").cast("timestamp"), "yyyy-MM-dd"))
+    p = F.split("value", r"\|")
+    kinds = ["bigint", "bigint", "int", "double", "string"]
+    parsed = table(spark, sf_dir, "lineitem").select(line.alias("value"))
+    return parsed.select(*[p[i].cast(k).alias(c) for i, (c, k) in enumerate(zip(names, kinds, strict=True))], F.dayofmonth(F.to_date(p[5], "yyyy-MM-dd")).alias("ship_day"))
+
 QUERIES, ORACLE_SQL = R.queries, R.sql

@@ -160,4 +160,27 @@ def random_sentences(spark, sf_dir):
     return sentences(spark.range(1, 1001).withColumnRenamed("id", "value"))
 
 
+@R.query("SELECT e.event_id, c.c_name FROM events e JOIN customer c ON e.user_id = c.c_custkey")
+def stream_static_join(spark, sf_dir):
+    """A stream looked up in a table."""
+    cust = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    ev = stream_table(spark, sf_dir, "events").select("event_id", "user_id")
+    return drain(ev.join(cust, ev.user_id == cust.c_custkey).select("event_id", "c_name"))
+
+
+@R.query("SELECT user_id, event_id, CAST(0 AS INTEGER) AS state, CAST(0 AS INTEGER) AS code FROM events WHERE FALSE")
+def generated_events_checked(spark, sf_dir):
+    """Generated paths run through the state machine: no alert."""
+    from wharfline.sources.generators import machine_events
+
+    return machine.alerts_batch(machine_events(spark, 500))
+
+
+@R.query("SELECT time_bucket(INTERVAL 5 MINUTE, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def extension_tumbling_stream(spark, sf_dir):
+    """Beyond the inventory: tumbling windows of a stream under a watermark."""
+    ev = stream_table(spark, sf_dir, "events").withColumn("t", F.col("ts").cast("timestamp")).withWatermark("t", "1 hour")
+    counts = ev.groupBy(F.window("t", "5 minutes").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    return drain(counts.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n"), "complete")
+
 QUERIES, ORACLE_SQL = R.queries, R.sql

@@ -147,4 +147,19 @@ def exploded_lists(spark, sf_dir):
     return conv.dropna(subset=["word"]).where("word <> ''")
 
 
+@R.query("SELECT word, count(*) AS n FROM (SELECT unnest(string_split(replace(text, chr(10), ' '), ' ')) AS word FROM conversations) WHERE word <> '' GROUP BY word")
+def external_tokeniser(spark, sf_dir):
+    """Lines piped through an external process, as a shell component would split them."""
+    piped = tx.pipe(table(spark, sf_dir, "conversations").select(F.regexp_replace("text", "\n", " ").alias("text")), "text", "tr ' ' '\\n'")
+    return piped.where("value <> ''").groupBy(F.col("value").alias("word")).agg(F.count("*").alias("n"))
+
+
+@R.query("""SELECT 'host-' || event_type AS host, count(*) AS n, round(avg(CAST(value * 100 AS BIGINT)), 6) AS latency, round(max(round(value * 3, 1)), 6) AS rate
+    FROM events GROUP BY event_type""")
+def metric_log(spark, sf_dir):
+    """Latency and throughput parsed out of log lines."""
+    ms, rate = F.round(F.col("value") * 100).cast("bigint"), F.round(F.col("value") * 3, 1)
+    said = table(spark, sf_dir, "events").select(F.concat(F.lit("host-"), "event_type", F.lit(" INFO Latency "), ms, F.lit(" ms; That's "), rate, F.lit(" elements/second/core")).alias("line"))
+    return tx.parse_metrics(said, "line").groupBy("host").agg(F.count("*").alias("n"), F.round(F.avg("latency"), 6).alias("latency"), F.round(F.max("rate"), 6).alias("rate"))
+
 QUERIES, ORACLE_SQL = R.queries, R.sql
