@@ -65,6 +65,6 @@ def test_temperature_helps():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(800, 6))
     y = (x[:, 0] + rng.normal(0, 1.5, 800) > 0).astype(float)
-    net = q.fit(x, y)
+    net = q.fit(x, np.ones(800), y)
     loss = lambda p: -(y * np.log(p + 1e-12) + (1 - y) * np.log(1 - p + 1e-12)).mean()
-    assert net.temperature != 1.0 and loss(net.probability(net.logits(x))) < 0.75
+    assert net.temperature != 1.0 and loss(net.probability(net.logits(x, np.ones(800)))) < 0.75

@@ -5,9 +5,11 @@ and a bucket of its shape (case, digits, marks; whether it repeats the word
 before). Each id owns a sparse random index vector. Over all documents, an id's
 context vector is the sum of the index vectors of its neighbours; these sums
 are whole numbers, so they don't depend on the order in which tasks end. A
-document is the mean of its tokens' word and shape vectors. A two-layer network
-in numpy, fitted on at most ``TRAIN_ROWS`` labelled documents, gives a logit,
-and a temperature fitted on a part kept from training calibrates it.
+document is the mean of its tokens' word and shape vectors, drawn towards the
+training documents' mean as by ``PRIOR_TOKENS`` more tokens, so that a few odd
+tokens don't settle a short text. A two-layer network in numpy, fitted on at
+most ``TRAIN_ROWS`` labelled documents, gives a logit, and a temperature fitted
+on a part kept from training calibrates it.
 
 The word table has a fixed number of buckets, so what reaches the driver and
 goes out with the tasks doesn't grow with the corpus.
@@ -15,8 +17,8 @@ goes out with the tasks doesn't grow with the corpus.
 Only the text is an input of a score. Labels of held-out documents, those whose
 crc32 of the id as text leaves no remainder by 5, are never read.
 
-Defined results: a null text is empty, and an empty text is scored by the zero
-vector; a null id is never held out nor labelled; of repeated labels of an id
+Defined results: a null text is empty, and an empty text is scored as the mean
+document; a null id is never held out nor labelled; of repeated labels of an id
 the majority counts, 1 on ties; without labels of both classes the score is the
 labels' smoothed mean; repeated rows each get their own result; an empty table
 gives no rows; other columns are carried by :func:`keep_good` only.
@@ -41,6 +43,7 @@ WORDS, SHAPES, DIM, NONZERO, REACH = 1 << 13, 1 << 10, 64, 2, 2
 #: Labelled documents that the network is fitted on, at most.
 TRAIN_ROWS = 20_000
 THRESHOLD = 0.3
+PRIOR_TOKENS = 4
 SEED = 11
 HIDDEN, EPOCHS, BATCH = 24, 60, 256
 #: Text whose tokens are counted at once.
@@ -48,6 +51,8 @@ _CHUNK_BYTES = 4 << 20
 #: The same where a vector is fetched for each token.
 _POOL_BYTES = 1 << 17
 _SHAPE = bytes(97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256))
+#: Marks around a token that any prose has; a token with a digit is one shape.
+_QUIET = b"\"'()[]{},.;:?-"
 _MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -62,7 +67,8 @@ class _Ids(dict):
         raw = token.translate(_SHAPE)
         shape = self.shapes.get(raw)
         if shape is None:
-            flat = bytes(c for i, c in enumerate(raw) if i == 0 or c != raw[i - 1])[:8]
+            bare = raw.strip(_QUIET)
+            flat = b"0" if b"0" in bare else bytes(c for i, c in enumerate(bare) if i == 0 or c != bare[i - 1])[:8]
             shape = self.shapes[raw] = zlib.crc32(flat) % (SHAPES // 2)
             if len(self.shapes) > 200_000:
                 self.shapes.clear()
@@ -153,10 +159,10 @@ def word_vectors(contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(out)
 
 
-def pooled(texts: list[bytes | None], vectors: tuple[np.ndarray, np.ndarray], ids: _Ids) -> np.ndarray:
-    """The mean word vector and the mean shape vector of each text; zero for an empty one."""
+def pooled(texts: list[bytes | None], vectors: tuple[np.ndarray, np.ndarray], ids: _Ids) -> tuple[np.ndarray, np.ndarray]:
+    """Mean word and shape vectors of each text, zero for an empty one, and its weight n / (n + prior)."""
     width = vectors[0].shape[1]
-    out = np.zeros((len(texts), 2 * width))
+    out, weight = np.zeros((len(texts), 2 * width)), np.zeros(len(texts))
     at = 0
     for part in _chunks(texts, _POOL_BYTES):
         w, s, sizes = _encode(part, ids)
@@ -165,8 +171,9 @@ def pooled(texts: list[bytes | None], vectors: tuple[np.ndarray, np.ndarray], id
             starts = (np.cumsum(sizes) - sizes)[full]
             for k, (v, of) in enumerate(((vectors[0], w), (vectors[1], s))):
                 out[at + full, k * width : (k + 1) * width] = np.add.reduceat(v[of], starts, axis=0) / sizes[full, None]
+        weight[at : at + len(part)] = sizes / (sizes + PRIOR_TOKENS)
         at += len(part)
-    return out
+    return out, weight
 
 
 @dataclass
@@ -180,8 +187,8 @@ class Network:
     temperature: float
     constant: float | None = None
 
-    def logits(self, x: np.ndarray) -> np.ndarray:
-        return self.second(((x - self.mean) / self.scale) @ self.w1 + self.b1)
+    def logits(self, x: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        return self.second((weight[:, None] * (x - self.mean) / self.scale) @ self.w1 + self.b1)
 
     def second(self, first: np.ndarray) -> np.ndarray:
         return np.tanh(first) @ self.w2 + self.b2
@@ -190,7 +197,7 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(logits / self.temperature, -30, 30)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, seed: int = SEED) -> Network:
+def fit(x: np.ndarray, weight: np.ndarray, y: np.ndarray, seed: int = SEED) -> Network:
     """Adam on the log loss; a fifth of the rows is kept for the temperature."""
     if len(set(y.tolist())) < 2:
         none = np.zeros(0)
@@ -200,7 +207,7 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = SEED) -> Network:
     kept, used = order[: len(x) // 5], order[len(x) // 5 :]
     mean, scale = x[used].mean(axis=0), x[used].std(axis=0) + 1e-6
     net = Network(mean, scale, rng.normal(0, x.shape[1] ** -0.5, (x.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), 0.0, 1.0)
-    z = (x - mean) / scale
+    z = weight[:, None] * (x - mean) / scale
     names = ("w1", "b1", "w2", "b2")
     m, v, t = {n: 0.0 for n in names}, {n: 0.0 for n in names}, 0
     for _ in range(EPOCHS):
@@ -218,7 +225,7 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = SEED) -> Network:
                 v[n] = 0.999 * v[n] + 0.001 * g * g
                 setattr(net, n, getattr(net, n) - 3e-3 * (m[n] / (1 - 0.9**t)) / (np.sqrt(v[n] / (1 - 0.999**t)) + 1e-8))
     if len(kept):
-        raw, best = net.logits(x[kept]), None
+        raw, best = net.logits(x[kept], weight[kept]), None
         for temp in np.exp(np.linspace(-1.5, 2.0, 71)):
             p = np.clip(1 / (1 + np.exp(-np.clip(raw / temp, -30, 30))), 1e-9, 1 - 1e-9)
             loss = -(y[kept] * np.log(p) + (1 - y[kept]) * np.log(1 - p)).mean()
@@ -249,13 +256,14 @@ class Classifier:
         if net.constant is not None:
             return cls(net, None, None)
         w = net.w1 / net.scale[:, None]
-        return cls(net, (vectors[0] @ w[:DIM], vectors[1] @ w[DIM:]), net.b1 - net.mean @ w)
+        return cls(net, (vectors[0] @ w[:DIM], vectors[1] @ w[DIM:]), -net.mean @ w)
 
     def score(self, texts: list[bytes | None], ids: _Ids) -> np.ndarray:
         if self.layers is None:
             return np.full(len(texts), self.network.constant)
-        both = pooled(texts, self.layers, ids)
-        return self.network.probability(self.network.second(both[:, :HIDDEN] + both[:, HIDDEN:] + self.shift))
+        both, weight = pooled(texts, self.layers, ids)
+        first = weight[:, None] * (both[:, :HIDDEN] + both[:, HIDDEN:] + self.shift) + self.network.b1
+        return self.network.probability(self.network.second(first))
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", train_rows: int = TRAIN_ROWS) -> Classifier:
@@ -271,13 +279,13 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                x = pooled(part.column("t").cast(pa.binary()).to_pylist(), vectors, ids).astype(np.float32)
+                x = np.column_stack(pooled(part.column("t").cast(pa.binary()).to_pylist(), vectors, ids)).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([part.column("i"), part.column("y"), pa.array([r.tobytes() for r in x], pa.binary())], names=["i", "y", "x"])
 
     got = known.mapInArrow(run, T.StructType([known.schema["i"], known.schema["y"], T.StructField("x", T.BinaryType())])).toArrow()
     rows = sorted(zip(got.column("i").to_pylist(), got.column("y").to_pylist(), got.column("x").to_pylist(), strict=True), key=lambda r: (str(r[0]), r[2]))
-    x = np.frombuffer(b"".join(r[2] for r in rows), np.float32).reshape(-1, 2 * DIM)
-    return Classifier.of(vectors, fit(x, np.array([r[1] for r in rows], np.float64)))
+    x = np.frombuffer(b"".join(r[2] for r in rows), np.float32).reshape(-1, 2 * DIM + 1)
+    return Classifier.of(vectors, fit(x[:, :-1], x[:, -1].astype(np.float64), np.array([r[1] for r in rows], np.float64)))
 
 
 def scored(docs: DataFrame, model: Classifier, text: str = "text", keep_text: bool = False, name: str = "score") -> DataFrame:
