@@ -19,6 +19,16 @@ def test_crafted_page():
     assert hx.extract("http://x.example/1", PAGE, set()) == "Head & tail First boldword here <p> next Second line one two"
 
 
+def test_names():
+    text = lambda page: hx.extract("u", page, set())
+    assert text('<div class="layout sidebar-layout"><p>a</p><div class="leftSidebar">b</div><div id="disqus_thread">c</div></div>') == "a"
+    assert text('<div class="with-sidebar no-comments"><p>a</p></div>') == "a"
+    assert text('<div id="widget"><article><p>a</p><div class="userComments">b</div></article></div>') == "a"
+    assert text('<div class="comments"><article class="x"><p>b</p></article></div><p>a</p>') == "a"
+    assert text('<main><div class="article-header"><h1>a</h1></div><header>b</header><div class="commentBox">c</div><article class="comment">d</article></main>') == "a b"
+    assert text('<p hidden>x</p><p style="display: none">y</p><div role="alert">z</div><p>a</p>') == "a"
+
+
 def test_odd_markup():
     for page in ["", None, "plain", "<", "<p", "<<p>>", "a < b & c", "<p><b><i></p>x</b>", "</div></p>text", "<script>never closed", '<a href="x>y', "<div " * 500, "<div>" * 3000 + "deep", "<!-- open", "&#0; &bogus; &#xD800;"]:
         hx.extract("u", page, set())

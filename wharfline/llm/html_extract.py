@@ -54,8 +54,11 @@ _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset
 _SCOPE = frozenset("html body article main section div aside nav footer header form blockquote table td th li ul ol dl figure details fieldset button".split())
 _SELF = {"li": frozenset(["ul", "ol", "menu"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "tr": frozenset(["table"]), "td": frozenset(["table", "tr"]), "th": frozenset(["table", "tr"]), "option": frozenset(["select"])}
 _NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising adbox sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar comment comments commentlist disqus reply replies respond discussion share sharing social related recommended recommendations newsletter subscribe subscription widget widgets toolbar pagination pager login signup search searchbox form outbrain taboola".split()
+    "ad ads adv advert adverts advertisement advertisements advertising adbox sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar comment comments commentlist disqus reply replies respond discussion share sharing social related recommended recommendations newsletter subscribe subscription widget widgets toolbar pagination pager login signup search searchbox form outbrain taboola responses feedback talkback alert alerts announcement announcements disclaimer paywall popover legal imprint submenu dropdown teaser teasers trending popular rail".split()
 )
+_INSIDE = re.compile(r"sidebar|comment|advert|cookie|footer|navbar|newsletter|breadcrumb|sponsor")
+_ROOM = frozenset("wrap wrapper layout page site".split())
+_DISCUSSION = frozenset("comment comments commentlist reply replies responses related ad advert sponsored promo teaser".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""", re.S)
@@ -64,29 +67,39 @@ _WORD = re.compile(r"[a-z]+")
 _DIGITS = re.compile(r"[0-9]+")
 _TAIL = re.compile(r"<[A-Za-z/!][^<>]*\Z")
 
-NOISE, NEUTRAL, ARTICLE = 0, 1, 2
+_CASE = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_WITH = re.compile(r"\b(?:has|with|no|without|not)[-_][a-z]+")
+
+#: NAMED is noise by an element's names alone; an article in it still counts.
+NOISE, NEUTRAL, ARTICLE, NAMED = 0, 1, 2, 3
+
+
+def dropped(kind: int) -> bool:
+    return kind in (NOISE, NAMED)
 
 
 def _kind(tag: str, attrs: str, outer: int) -> tuple[int, str]:
-    """What an element is by its name, and its class names for the path."""
+    """What an element is by its name and attributes, and its class names for the path."""
     if outer == NOISE or tag in _NOISE:
         return NOISE, ""
-    found = {k.lower(): v.strip("\"'").lower() for k, v in _ATTR.findall(attrs)} if attrs.strip() else {}
-    label = _DIGITS.sub("0", " ".join(sorted(found.get("class", "").split())))
-    if tag in ("article", "main") or found.get("role") == "main" or "articlebody" in found.get("itemprop", ""):
-        names = set(_WORD.findall(label))
-        return (NOISE if names & {"comment", "comments", "reply", "related", "ad", "advert", "sponsored", "promo"} else ARTICLE), label
+    found = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(attrs)} if attrs.strip() else {}
+    label = _DIGITS.sub("0", " ".join(sorted(found.get("class", "").lower().split())))
+    called = _WITH.sub(" ", _CASE.sub(" ", found.get("class", "") + " " + found.get("id", "")).lower())
+    names = set(_WORD.findall(called))
+    role = found.get("role", "").lower()
+    if tag in ("article", "main") or role == "main" or "articlebody" in found.get("itemprop", "").lower():
+        return (NOISE if names & _DISCUSSION else ARTICLE), label
     if tag in ("html", "body"):
         return outer, label
     if tag == "header":
         return (outer if outer == ARTICLE else NOISE), label
-    names = set(_WORD.findall(found.get("class", "") + " " + found.get("id", "")))
-    bad = names & _NAMES
-    if bad == {"header"} and (outer == ARTICLE or names & {"article", "post", "entry", "story"}):
+    bad = names & _NAMES | {n for n in names if _INSIDE.search(n)}
+    if bad == {"header"} and (outer == ARTICLE or names & {"article", "post", "entry", "story"}) or bad <= {"header", "sidebar"} and names & _ROOM:
         bad = set()
-    style = found.get("style", "").replace(" ", "")
-    if bad or found.get("role") in _ROLES or "hidden" in found or "display:none" in style:
+    if role in _ROLES or "hidden" in found or "display:none" in found.get("style", "").lower().replace(" ", ""):
         return NOISE, label
+    if bad or outer == NAMED:
+        return (NOISE if bad & _DISCUSSION else NAMED), label
     return outer, label
 
 
@@ -117,7 +130,7 @@ def blocks(page: str) -> list[tuple[str, str, str, int]]:
     while at < end:
         m = _TOKEN.search(page, at)
         raw = page[at : m.start()] if m else _TAIL.sub("", page[at:])
-        if raw and stack[-1][2] != NOISE:
+        if raw and not dropped(stack[-1][2]):
             text.append(html.unescape(raw) if "&" in raw else raw)
         if not m:
             break
@@ -190,7 +203,7 @@ def features(url: str | None, page: str | None) -> list[tuple[int, int, int]]:
     """Distinct (node, what, feature) of a page: 0 the node, 1 content, 2 presentation."""
     host, out, ids = host_of(url), set(), {}
     for path, around, text, kind in blocks(page or ""):
-        if kind == NOISE:
+        if dropped(kind):
             continue
         node = ids.get((path, kind))
         if node is None:
@@ -203,7 +216,7 @@ def features(url: str | None, page: str | None) -> list[tuple[int, int, int]]:
 
 def extract(url: str | None, page: str | None, removable: set[int]) -> str:
     """The page's text without its noise and its removable branches."""
-    found = [b for b in blocks(page or "") if b[3] != NOISE]
+    found = [b for b in blocks(page or "") if not dropped(b[3])]
     if any(b[3] == ARTICLE for b in found):
         found = [b for b in found if b[3] == ARTICLE]
     if removable:
