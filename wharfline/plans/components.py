@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wharfline.session import cut
+from wharfline.session import cut, materialise
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each larger neighbour of u is linked to the least node around u."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     return both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """u and its smaller neighbours are linked to the least of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = materialise(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = edges.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v")))
 
@@ -39,7 +39,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if tuple(row) == seen or row[0] == 0:
             break
         seen = tuple(row)
-        state = cut(_small_star(_large_star(state).distinct()).distinct())
+        state = cut(_small_star(cut(_large_star(state).distinct())).distinct())
     out = state.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = state.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     alone = loops.join(out.select("node").union(roots.select("node")), loops.u == F.col("node"), "left_anti")

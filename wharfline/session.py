@@ -46,6 +46,10 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
 
     Unlike ``localCheckpoint`` the copy outlives any executor, and unlike
     ``persist`` it is never computed again when a block is lost.
+
+    It also parts a summary by key from the rows that are joined with it: next
+    to an aggregate by the same key Spark joins in the aggregate's partitions,
+    which it can't split, while beside a table a hot key's rows are split.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
