@@ -262,6 +262,7 @@ def links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     filed = nodes.where(F.length("codes") > 0).mapInArrow(spread, T.StructType([T.StructField("code", T.LongType()), T.StructField("node", kind), T.StructField("place", T.IntegerType())]))
     filed = materialise(filed, "audio-codes")
     counts = filed.groupBy("code").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("code", "n")
+    counts = materialise(counts, "audio-shared")
     around = F.expr(f"substring(codes, greatest(place - {REACH}, 0) * 4 + 1, (least(place, {REACH}) + {REACH} + 1) * 4)")
     shared = filed.join(counts, "code").join(nodes, "node").withColumn("codes", around).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     shared = shared.withColumn("own", F.pmod(F.xxhash64("node", "place"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))

@@ -260,7 +260,7 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", page
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int8(), pa.int64()), strict=True)], names=["key", "node", "what", "feature"])
 
     seen = materialise(keyed.select("key", "url", "html").mapInArrow(learn, "key long, node long, what byte, feature long"), "style-tree")
-    gone = removable_nodes(seen.select("node", "what", "feature"))
+    gone = materialise(removable_nodes(seen.select("node", "what", "feature")), "removable")
     fetched = seen.where("what = 0").select("key", "node").join(gone, "node", "left_semi").groupBy("key").agg(F.collect_set("node").alias("gone"))
     ready = keyed.join(fetched, "key", "left").select("page_id", "url", "html", "gone")
     kind = pages.schema[page_id].dataType.simpleString()

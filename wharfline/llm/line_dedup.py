@@ -65,10 +65,10 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     windows = materialise(_windows(keyed, min_words, max_lines), "winnow")
     place = F.struct("id", "hash", "anchor")
     met = windows.groupBy("print").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("not (a <=> z)").select("print")
-    cand = windows.join(met, "print", "left_semi").select("id", "hash", "at", "size", "w1", "w2")
+    cand = windows.join(materialise(met, "prints-met"), "print", "left_semi").select("id", "hash", "at", "size", "w1", "w2")
     start = F.struct("id", "hash", "at")
     first = cand.groupBy("w1", "w2").agg(F.min(start).alias("a"), F.max(start).alias("z")).where("not (a <=> z)").select("w1", "w2", "a")
-    later = cand.join(first, ["w1", "w2"]).where(~start.eqNullSafe(F.col("a")))
+    later = cand.join(materialise(first, "first-windows"), ["w1", "w2"]).where(~start.eqNullSafe(F.col("a")))
     return later.select("id", "hash", F.explode(F.expr("sequence(at, at + size - 1)")).alias("line")).groupBy("id", "hash").agg(F.collect_set("line").alias("lines"))
 
 

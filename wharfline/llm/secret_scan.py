@@ -93,7 +93,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str
     every = rows.where("size(base) + size(found) > 0").select("row", "owner", "repo", F.explode(F.concat("base", "found")).alias("x"))
     every = every.select("row", "owner", "repo", F.xxhash64("x.value").alias("hash"), "x")
     seen = ownership(every.select("hash", "owner", "repo"))
-    judged = every.join(seen, "hash").withColumn("live", F.col("n_owners") <= max_owners)
+    judged = every.join(materialise(seen, "ownership"), "hash").withColumn("live", F.col("n_owners") <= max_owners)
     added = F.when(F.col("live") & (F.col("x.kind") == len(PATTERNS)), F.col("x"))
     by_row = judged.groupBy("row").agg(F.collect_list(added).alias("added"), F.sum(F.col("live").cast("long")).alias("n_live"), F.sum((~F.col("live")).cast("long")).alias("n_example"))
     joined = rows.join(by_row, "row", "left")

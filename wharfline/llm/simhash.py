@@ -163,6 +163,7 @@ def links(nodes: DataFrame, max_distance: int = MAX_DISTANCE, hot: int = HOT_VAL
         units = filed.select(F.xxhash64("seg", "val").alias("unit"), "fp")
     else:
         full = filed.join(crowded, ["seg", "val"]).groupBy("seg", "val").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+        full = materialise(full, "simhash-blocks")
         filed = filed.join(full, ["seg", "val"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         filed = filed.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         units = filed.select(F.xxhash64("seg", "val", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), "fp")
@@ -192,7 +193,7 @@ def components(prints: DataFrame, doc_id: str = "doc_id", name: str = "fingerpri
     nodes = materialise(prints.groupBy(F.col(name).alias("fp")).agg(F.min(doc_id).alias("least_id")), "simhash-nodes")
     roots = connected_components(materialise(links(nodes, max_distance), "simhash-links"))
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least_id", F.coalesce("component", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    least = materialise(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "simhash-least")
     named = rooted.join(least, "root").select(F.col("fp").alias("__fp"), F.col("root").alias("component_root"), "component_id")
     return prints.join(named, F.col(name) == F.col("__fp")).drop("__fp")
 

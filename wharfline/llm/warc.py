@@ -170,7 +170,7 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     ).withColumn("sha", F.sha1("payload"))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "url")
     first = named.where(F.length("payload") >= least_revisit).groupBy("sha").agg(F.min(place).alias("a"), F.max(place).alias("z"))
-    copied = first.where("not (a <=> z)").select("sha", "a")
+    copied = materialise(first.where("not (a <=> z)").select("sha", "a"), "copied")
     ready = named.join(copied, "sha", "left").select(
         F.col("id").cast("string").alias("id"),
         "url",
