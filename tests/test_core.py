@@ -150,6 +150,14 @@ def test_als_solves_its_equations(spark):
         assert np.allclose(left, m.T @ mine.rating.to_numpy(float), atol=1e-6)
 
 
+def test_als_job(spark, tmp_path):
+    ratings = generators.listener_ratings(spark, 12, 10, 4).select("user", "item", "rating")
+    formats.write_delimited(ratings, str(tmp_path / "in"), ",")
+    learning.run_als(spark, 2, 0.1, 1, 7, str(tmp_path / "in"), str(tmp_path / "out"))
+    users = formats.read_delimited(spark, str(tmp_path / "out" / "userFactors"), "id bigint, f0 double, f1 double", ",")
+    assert {r.id for r in users.collect()} == {r.user for r in ratings.collect()}
+
+
 def test_cocoa_gap_closes(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(120, 5))
@@ -277,6 +285,16 @@ def test_avro_types_and_nulls(spark, tmp_path):
     assert sorted((tuple(r) for r in avro.read_avro(spark, str(tmp_path / "o")).collect()), key=key) == sorted((tuple(r) for r in df.collect()), key=key)
 
 
+def test_star_schema(spark):
+    made = generators.star_schema(spark, 300)
+    assert set(made) == {"region", "nation", "supplier", "customer", "part", "partsupp", "orders", "lineitem"}
+    assert made["region"].rdd.getNumPartitions() == made["nation"].rdd.getNumPartitions() == 1
+    orders, cust = made["orders"], made["customer"]
+    assert orders.count() == 300 and orders.join(cust, orders.o_custkey == cust.c_custkey, "left_anti").isEmpty()
+    assert made["lineitem"].join(orders, F.col("l_orderkey") == orders.o_orderkey, "left_anti").isEmpty()
+    assert made["partsupp"].groupBy("ps_partkey", "ps_suppkey").count().where("count > 1").isEmpty()
+
+
 def test_generators_are_functions_of_the_seed(spark):
     a, b = (generators.kmeans_points(spark, 50, 3, 4, seed=s).toPandas() for s in (1, 1))
     assert a.equals(b) and not a.equals(generators.kmeans_points(spark, 50, 3, 4, seed=2).toPandas())

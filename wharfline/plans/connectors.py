@@ -228,6 +228,16 @@ def generated_events(spark, sf_dir):
     return generators.machine_events(spark, 300, 0.02)
 
 
+@R.query()
+def generated_star_schema(spark, sf_dir):
+    """Rows of each table that the splittable generator makes."""
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("name"), "n") for k, df in generators.star_schema(spark, 1500).items()]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.union(c)
+    return out
+
+
 @R.query()
 def generated_order_lines(spark, sf_dir):
     return generators.order_lines(spark, 1500)

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from wharfline.registry import Registry
 from wharfline.session import cut, materialise
+from wharfline.sources.formats import read_delimited, write_delimited
 from wharfline.sources.tables import table
 
 R = Registry()
@@ -137,6 +138,18 @@ def als(ratings: DataFrame, k: int, lam: float, rounds: int, start: Callable[[Co
     return cut(_solve(ratings, "user", "item", items, k, lam)), items
 
 
+def run_als(spark, factors: int, lam: float, rounds: int, seed: int, source: str, target: str, sep: str = ",") -> None:
+    """Ratings ``user,item,rating`` from text; both factor tables to text.
+
+    ``target`` gets the folders ``userFactors`` and ``itemFactors`` with a line
+    for each id: the id and its factors.
+    """
+    ratings = read_delimited(spark, source, "user bigint, item bigint, rating double", sep)
+    users, items = als(ratings, factors, lam, rounds, seed=seed)
+    for name, side in (("userFactors", users), ("itemFactors", items)):
+        write_delimited(side.select("id", *[F.col("f")[j].alias(f"f{j}") for j in range(factors)]), f"{target.rstrip('/')}/{name}", sep)
+
+
 def order_ratings(spark, sf_dir) -> DataFrame:
     """What customers ordered of which part, as ratings."""
     orders, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")

@@ -63,9 +63,9 @@ def tpch_q10(spark, sf_dir):
     return joined.groupBy("c_custkey", "c_name", "c_acctbal", "n_name").agg(revenue())
 
 
-def _placed_customers(spark: SparkSession, sf_dir: str, hint: bool = False) -> DataFrame:
-    """customer joined with nation and region, all fields."""
-    small = checked_broadcast if hint else (lambda df: df)
+def _placed_customers(spark: SparkSession, sf_dir: str, how: str = "auto") -> DataFrame:
+    """customer joined with nation and region, all fields; by choice, broadcast or merge."""
+    small = {"auto": lambda df: df, "broadcast": checked_broadcast, "merge": lambda df: df.hint("merge")}[how]
     cust, nation, region = table(spark, sf_dir, "customer"), small(table(spark, sf_dir, "nation")), small(table(spark, sf_dir, "region"))
     return cust.join(nation, cust.c_nationkey == nation.n_nationkey).join(region, nation.n_regionkey == region.r_regionkey)
 
@@ -189,13 +189,13 @@ def t7_sum_of_counts(spark, sf_dir):
 @R.query(f"SELECT c_custkey, c_name, n_name, r_name FROM {_PLACED}")
 def t9_broadcast_lookup(spark, sf_dir):
     """Lookups by size-checked broadcast."""
-    return _placed_customers(spark, sf_dir, True).select("c_custkey", "c_name", "n_name", "r_name")
+    return _placed_customers(spark, sf_dir, "broadcast").select("c_custkey", "c_name", "n_name", "r_name")
 
 
 @R.query("SELECT c_custkey, c_name, n_name, r_name, 'left' AS side FROM customer, nation, region WHERE FALSE")
 def t9_same_by_shuffle(spark, sf_dir):
     """Field equality of the shuffled and the broadcast join: no difference."""
-    shuffled = _placed_customers(spark, sf_dir).hint("merge").select("c_custkey", "c_name", "n_name", "r_name")
+    shuffled = _placed_customers(spark, sf_dir, "merge").select("c_custkey", "c_name", "n_name", "r_name")
     return differences(shuffled, t9_broadcast_lookup(spark, sf_dir))
 
 

@@ -122,3 +122,35 @@ def order_lines(spark: SparkSession, orders: int, seed: int = 1) -> DataFrame:
         F.col("o").alias("l_orderkey"), F.col("n").alias("l_linenumber"), (F.floor(u(2) * orders / 7.5) + 1).cast("bigint").alias("l_partkey"), (F.floor(u(3) * orders / 150) + 1).cast("bigint").alias("l_suppkey"),
         quantity.cast("double").alias("l_quantity"), F.round(quantity * (900 + u(4) * 1200), 2).alias("l_extendedprice"), F.round(F.floor(u(5) * 11) / 100, 2).alias("l_discount"), F.round(F.floor(u(6) * 9) / 100, 2).alias("l_tax"),
     )
+
+
+REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+NATIONS = 25
+
+
+def star_schema(spark: SparkSession, orders: int, seed: int = 1) -> dict[str, DataFrame]:
+    """All eight tables of the star schema, sized by the number of orders.
+
+    Regions and nations are a single partition, the others are split by range.
+    """
+    customers, suppliers, parts = max(1, orders // 10), max(1, orders // 150), max(1, orders * 2 // 15)
+    numbered = lambda n: spark.range(1, n + 1)
+    i = F.col("id")
+    u = lambda k: uniform(i, seed, k)
+    name = lambda word: F.concat(F.lit(f"{word}#"), F.lpad(i.cast("string"), 9, "0"))
+    nation = F.floor(u(1) * NATIONS).cast("int")
+    balance = F.round(u(2) * 11000 - 1000, 2)
+    region_name = F.get(F.array(*[F.lit(r) for r in REGIONS]), i.cast("int"))
+    day = F.timestamp_seconds(F.lit(788_918_400) + F.floor(u(3) * 2400) * 86_400).cast("timestamp_ntz")
+    return {
+        "region": spark.range(0, len(REGIONS), 1, 1).select(i.cast("int").alias("r_regionkey"), region_name.alias("r_name")),
+        "nation": spark.range(0, NATIONS, 1, 1).select(i.cast("int").alias("n_nationkey"), F.concat(F.lit("NATION_"), i).alias("n_name"), (i % len(REGIONS)).cast("int").alias("n_regionkey")),
+        "supplier": numbered(suppliers).select(i.alias("s_suppkey"), name("Supplier").alias("s_name"), nation.alias("s_nationkey"), balance.alias("s_acctbal")),
+        "customer": numbered(customers).select(i.alias("c_custkey"), name("Customer").alias("c_name"), nation.alias("c_nationkey"), balance.alias("c_acctbal"), pick(SEGMENTS, u(4)).alias("c_mktsegment")),
+        "part": numbered(parts).select(i.alias("p_partkey"), name("Part").alias("p_name"), F.concat(F.lit("Brand#"), F.floor(u(5) * 25)).alias("p_brand"), (F.floor(u(6) * 50) + 1).cast("int").alias("p_size"), F.round(900 + u(7) * 1200, 2).alias("p_retailprice")),
+        "partsupp": numbered(parts).select(i.alias("ps_partkey"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).select("ps_partkey", (F.pmod(F.col("ps_partkey") + F.col("k") * max(1, suppliers // 4), F.lit(suppliers)) + 1).alias("ps_suppkey")).distinct(),
+        "orders": numbered(orders).select(i.alias("o_orderkey"), (F.floor(u(8) * customers) + 1).cast("bigint").alias("o_custkey"), F.round(u(9) * 400000, 2).alias("o_totalprice"), day.alias("o_orderdate"), pick(PRIORITIES, u(10)).alias("o_orderpriority")),
+        "lineitem": order_lines(spark, orders, seed),
+    }
