@@ -17,7 +17,7 @@ from wharfline.plans import graph, learning
 from wharfline.plans.components import connected_components
 from wharfline.sources import avro, formats, generators
 from wharfline.streaming import machine, metrics, sources
-from wharfline.streaming.run import drain
+from wharfline.streaming.run import drain, every
 
 SF = "/root/testdata/sf0.001"
 
@@ -250,6 +250,19 @@ def test_frame_socket(spark):
         server.close()
 
 
+def test_micro_batches_by_interval(spark):
+    counts = {}
+    query = every(sources.micro_batches(spark, 100, 2), 0.5, lambda number, batch: counts.__setitem__(number, (batch.count(), batch.agg(F.min("value")).first()[0])))
+    try:
+        for _ in range(60):
+            threading.Event().wait(0.5)
+            if len(counts) >= 3:
+                break
+    finally:
+        query.stop()
+    assert [counts[k] for k in sorted(counts)][:3] == [(100, 0), (100, 100), (100, 200)]
+
+
 def test_rate_sources(spark):
     assert sources.rate(spark, 10).isStreaming and sources.micro_batches(spark, 10).isStreaming
     assert not sources.has_kafka(spark)

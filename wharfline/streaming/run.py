@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming.query import StreamingQuery
 
 from wharfline.session import shared_dir
 from wharfline.sources.tables import table
@@ -42,3 +44,15 @@ def drain(df: DataFrame, mode: str = "append") -> DataFrame:
     if not numbers:
         return spark.createDataFrame([], df.schema)
     return spark.read.schema(df.schema).parquet(*[f"{at}/out/{n}" for n in numbers])
+
+
+def every(df: DataFrame, seconds: float, told: Callable[[int, DataFrame], None], checkpoint: str | None = None) -> StreamingQuery:
+    """Starts a stream in micro-batches of a fixed interval and calls ``told`` with each.
+
+    The checkpoint keeps offsets and state: a query that is started again with
+    it goes on where the last finished batch ended, and a batch that failed is
+    run again under its number.
+    """
+    at = checkpoint or f"{shared_dir(df.sparkSession).rstrip('/')}/stream-{uuid.uuid4().hex}/checkpoint"
+    writer = df.writeStream.foreachBatch(lambda batch, number: told(number, batch))
+    return writer.option("checkpointLocation", at).trigger(processingTime=f"{seconds} seconds").start()
