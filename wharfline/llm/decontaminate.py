@@ -37,7 +37,7 @@ WINDOW = 10
 #: Item text that one pass sends to the executors.
 BLOCK_BYTES = 8 << 20
 #: Document text whose positions one suffix array holds.
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 12 << 20
 #: A-Z to a-z; what is neither digit, letter nor part of a non-ASCII character to a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
