@@ -3,8 +3,8 @@
 Base spans are the non-overlapping matches, from the left, of four patterns and
 always stay. The field adds to them. Its nodes are the tokens (runs without
 white space) that hold a digit or an ``@``; any other token can only be plain,
-so leaving it out changes no marginal. Neighbouring nodes share a chain
-potential. Nodes whose text, last seven digits or mail name is the same share a
+so leaving it out changes no marginal. Neighbouring nodes that can be pieces of
+one number share a chain potential. Nodes whose text, last seven digits or mail name is the same share a
 skip potential, each with the last one before it, however far apart in the
 document. Loopy sum-product message passing then makes labels agree: a phone
 number without its ``+`` is found because it was written in full elsewhere.
@@ -142,12 +142,18 @@ def _shape(s: str, joined: str, first: bool) -> list[float]:
     ]
 
 
+def _whole(s: str) -> bool:
+    """Whether a token can't be a piece of a longer number."""
+    return "@" in s or s.count(".") >= 3 or len(_digits(s)) >= 12
+
+
 def graph(text: str) -> tuple[list[tuple[int, int]], list[list[float]], list[tuple[int, int]], list[tuple[int, int]]]:
     """Tokens, features, chain edges and skip edges of one document."""
     spots = [x for x in (_trim(text, a, z) for a, z in tokens(text)) if x[0] < x[1]]
     runs, chain = [], []
     for i, (a, _) in enumerate(spots):
-        if i and text[spots[i - 1][1] : a] == " ":
+        before = spots[i - 1] if i else (0, 0)
+        if i and text[before[1] : a] == " " and not _whole(text[slice(*before)]) and not _whole(text[a : spots[i][1]]):
             chain.append((i - 1, i))
             runs[-1].append(i)
         else:
@@ -158,14 +164,14 @@ def graph(text: str) -> tuple[list[tuple[int, int]], list[list[float]], list[tup
         for i in run:
             s = text[spots[i][0] : spots[i][1]]
             feats.append(_shape(s, joined or s, i == run[0]))
-    skips, before = set(), {}
+    skips, met = set(), {}
     for i, (a, z) in enumerate(spots):
         s = text[a:z].lower()
         d = _digits(s)
         for key in {("t", s), ("d", d[-7:]) if len(d) >= 7 else ("t", s), ("m", s.partition("@")[0])}:
-            if key in before:
-                skips.add((before[key], i))
-            before[key] = i
+            if key in met:
+                skips.add((met[key], i))
+            met[key] = i
     return spots, feats, chain, sorted(skips)
 
 
