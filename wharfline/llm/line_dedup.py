@@ -41,9 +41,11 @@ def _windows(docs: DataFrame, min_words: int, max_lines: int) -> DataFrame:
         "hash",
         F.expr(f"transform({_FULL.format(t='text')}, s -> named_struct('h', xxhash64(s.line), 'g', hash(s.line), 'c', length(s.line) - length(replace(s.line, ' ', '')) + 1))").alias("u"),
     )
-    hashed = hashed.where("size(u) > 0").select("id", "hash", F.expr("u.h").alias("h"), F.expr("u.g").alias("g"), F.expr("u.c").alias("c"))
+    # no filter on u here: it would be pushed down, and every line hashed twice
     reach = f"if(c[i - 1] >= {min_words}, 1, array_min(filter(sequence(1, least({max_lines}, size(c) - i + 1)), n -> n = {max_lines} or aggregate(slice(c, i, n), 0, (s, x) -> s + x) >= {min_words})))"
-    sized = hashed.select("id", "hash", "h", "g", F.expr(f"filter(transform(sequence(1, size(c)), i -> named_struct('at', i, 'size', {reach})), s -> s.size is not null)").alias("w"))
+    spans = f"CASE WHEN size(c) > 0 THEN filter(transform(sequence(1, size(c)), i -> named_struct('at', i, 'size', {reach})), s -> s.size is not null) END"
+    # bound by a lambda, u.c is taken out of the structs once rather than for every line
+    sized = hashed.select("id", "hash", F.expr("u.h").alias("h"), F.expr("u.g").alias("g"), F.expr(f"transform(array(u.c), c -> {spans})[0]").alias("w"))
     least = "array_min(slice(h, s.at, s.size))"
     full = sized.select(
         "id",
