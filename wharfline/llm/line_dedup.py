@@ -83,15 +83,16 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     gone = gone.select(F.col("id").alias("__id"), F.col("hash").alias("__hash"), F.col("lines").alias("__lines")).hint("shuffle_hash")
     joined = docs.join(gone, docs[doc_id].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__hash")), "left")
     t = f"`{text}`"
-    numbers = f"{_FULL.format(t=t)}.no"
+    # bound by a lambda, the lines are split once rather than for every line kept
     kept = F.expr(
-        f"""CASE WHEN __lines IS NULL THEN {t} ELSE array_join(transform(
-            array_except(sequence(1, size({_RAW.format(t=t)})), transform(__lines, k -> element_at(__no, k))),
-            k -> element_at(__raw, k)), '\n') END"""
+        f"""CASE WHEN __lines IS NULL THEN {t} ELSE transform(
+            array(named_struct('raw', {_RAW.format(t=t)}, 'no', {_FULL.format(t=t)}.no)),
+            z -> array_join(transform(
+                array_except(sequence(1, size(z.raw)), transform(__lines, k -> element_at(z.no, k))),
+                k -> element_at(z.raw, k)), '\n'))[0] END"""
     )
-    out = joined.withColumn("__no", F.expr(f"CASE WHEN __lines IS NOT NULL THEN {numbers} END")).withColumn("__raw", F.expr(f"CASE WHEN __lines IS NOT NULL THEN {_RAW.format(t=t)} END"))
     count = F.expr(f"size(filter({_RAW.format(t=t)}, x -> trim(BOTH ' ' FROM x) != ''))")
     removed = F.when(F.col("__lines").isNull(), 0).otherwise(F.size("__lines"))
-    out = out.withColumns({"n_lines": F.when(F.col(text).isNull(), 0).otherwise(count).cast("long"), "n_removed": removed.cast("long")}).withColumn(text, kept)
+    out = joined.withColumns({"n_lines": F.when(F.col(text).isNull(), 0).otherwise(count).cast("long"), "n_removed": removed.cast("long")}).withColumn(text, kept)
     extra = [c for c in ("n_lines", "n_removed") if c not in docs.columns]
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], *extra)
