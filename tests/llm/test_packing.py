@@ -1,6 +1,8 @@
+import os
 import random
 from collections import Counter
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -84,3 +86,21 @@ def test_pack_whole_texts(spark):
     assert pk.pack(df.where("false")).count() == 0
     by_words = pk.pack(df.withColumn("w", F.lit(3)), length="w").collect()
     assert {r.n_tokens for r in by_words} == {3} and len(by_words) == len(texts)
+
+
+TOKENIZERS = os.environ.get("TOKENIZERS", "/opt/tokenizers")
+
+
+@pytest.mark.skipif(not os.path.isdir(TOKENIZERS), reason="no vocabulary files")
+def test_token_counts(spark):
+    import tiktoken
+
+    ranks = pk.read_ranks(f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    split = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+    texts = [(1, "The tide turns twice a day"), (2, ""), (3, None), (4, "é" * 9000)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumn("n_tokens", F.lit("old"))
+    got = {r.doc_id: r.n_tokens for r in pk.with_token_counts(df, ranks, split).collect()}
+    coder = tiktoken.Encoding("t", pat_str=split, mergeable_ranks=ranks, special_tokens={})
+    assert got == {i: len(coder.encode_ordinary(t or "")) for i, t in texts} and got[1] < 10
+    packed = pk.pack(pk.with_token_counts(df, ranks, split), length="n_tokens").collect()
+    assert sum(r.n_tokens for r in packed) == sum(got.values())

@@ -16,7 +16,7 @@ is a place within (length, shard) plus the counts of the shards before it, so a
 length that a third of all rows have is ranked by many tasks.
 
 Length is the number of UTF-8 bytes (the tokens of a byte-level model) unless a
-``length`` column is named.
+``length`` column is named; :func:`with_token_counts` makes one from a vocabulary.
 
 Defined results: a null or empty text has one row, piece 0 with no tokens and
 no bin; null ids are ranked first; which of several rows that agree in id and
@@ -26,7 +26,9 @@ no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import base64
 import itertools
+import pickle
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,9 +37,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from wharfline.session import materialise
+from wharfline.session import materialise, ship
 
 CAPACITIES = (2048, 4096, 8192)
 #: Cost of a sequence: a fixed part, its length, and attention's square of it.
@@ -174,3 +177,31 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: st
     none = F.lit(None).cast("long")
     empty = pieces.where("n_tokens <= 0").select("doc_id", "piece", F.lit(0).cast("long"), none, none, none)
     return packed.union(empty)
+
+
+def read_ranks(path: str) -> dict[bytes, int]:
+    """The ranks of a byte-level vocabulary file: a base64 token and a rank on each line."""
+    with open(path, "rb") as lines:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(None, map(bytes.strip, lines)))}
+
+
+def with_token_counts(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", name: str = "n_tokens") -> DataFrame:
+    """``docs`` and the number of tokens of each whole text, for ``pack(..., length=name)``.
+
+    ``ranks`` and ``pattern`` are a vocabulary's, read by the caller; they are of
+    fixed size and go out with the tasks. A null text has none.
+    """
+    shared = ship(docs.sparkSession, (pattern, ranks))
+    kept = [c for c in docs.columns if c != name]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import tiktoken
+
+        split, table = pickle.loads(shared.value)
+        coder = tiktoken.Encoding("given", pat_str=split, mergeable_ranks=table, special_tokens={})
+        for b in batches:
+            counts = [len(coder.encode_ordinary(t)) if t else 0 for t in b.column(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(counts, pa.int64())], names=[*kept, name])
+
+    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(name, T.LongType())])
+    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
