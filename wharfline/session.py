@@ -61,13 +61,20 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
 _scratch: dict[str, list[str]] = {}
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Deletes what ``materialise`` has written for this application.
+def scratch_mark(spark: SparkSession) -> int:
+    """How many tables ``materialise`` has written for this application so far."""
+    return len(_scratch.setdefault(spark.sparkContext.applicationId, []))
+
+
+def drop_scratch(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the tables that ``materialise`` has written after a mark.
 
     Frames that still read these tables fail afterwards, so a job calls it when
-    its results are written.
+    its results are written, with the mark it took at its start.
     """
-    for path in _scratch.pop(spark.sparkContext.applicationId, []):
+    written = _scratch.setdefault(spark.sparkContext.applicationId, [])
+    gone, written[since:] = written[since:], []
+    for path in gone:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
