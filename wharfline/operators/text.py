@@ -13,6 +13,11 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"\W+"), lambda x: x != "")
 
 
+def split_words(text: Column) -> Column:
+    """The same pieces with the empty ones, for ``exploded`` to drop."""
+    return F.split(F.lower(text), r"\W+")
+
+
 def tokens_with_empty(text: Column) -> Column:
     """The same, keeping a leading empty word; trailing ones go, and of a text without any word so does the last.
 
@@ -33,14 +38,20 @@ def lines(df: DataFrame, text: str, *keep: str) -> DataFrame:
     return df.select(*keep, F.posexplode(F.split(text, "\n")).alias("at", "line")).select(*keep, (F.col("at") + 1).cast("bigint").alias("line_no"), "line")
 
 
-def word_count(df: DataFrame, words: Column) -> DataFrame:
+def exploded(df: DataFrame, words: Column, keep_empty: bool = False) -> DataFrame:
+    """A row per word. Empty words go after the explode, in generated code."""
+    out = df.select(F.explode(words).alias("word"))
+    return out if keep_empty else out.where("word <> ''")
+
+
+def word_count(df: DataFrame, words: Column, keep_empty: bool = False) -> DataFrame:
     """Hash aggregates before and after one exchange by word."""
-    return df.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return exploded(df, words, keep_empty).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def word_count_without_combiner(df: DataFrame, words: Column) -> DataFrame:
     """All occurrences cross the exchange, none summed before it."""
-    return df.select(F.explode(words).alias("word")).repartition("word").groupBy("word").agg(F.count("*").alias("n"))
+    return exploded(df, words).repartition("word").groupBy("word").agg(F.count("*").alias("n"))
 
 
 def grep(df: DataFrame, line: str, patterns: Mapping[str, str]) -> DataFrame:

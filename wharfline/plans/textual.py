@@ -18,12 +18,12 @@ _WORDS = r"SELECT word, count(*) AS n FROM (SELECT unnest(string_split_regex(low
 
 @R.query(_WORDS)
 def word_count(spark, sf_dir):
-    return tx.word_count(table(spark, sf_dir, "documents"), tx.tokens(F.col("text")))
+    return tx.word_count(table(spark, sf_dir, "documents"), tx.split_words(F.col("text")))
 
 
 @R.query(_WORDS)
 def word_count_without_combiner(spark, sf_dir):
-    return tx.word_count_without_combiner(table(spark, sf_dir, "documents"), tx.tokens(F.col("text")))
+    return tx.word_count_without_combiner(table(spark, sf_dir, "documents"), tx.split_words(F.col("text")))
 
 
 @R.query(_WORDS)
@@ -43,7 +43,7 @@ def word_count_two_phase(spark, sf_dir):
                 held.clear()
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.string()), pa.array(held.values(), pa.int64())], names=["word", "n"])
 
-    words = table(spark, sf_dir, "documents").select(F.explode(tx.tokens(F.col("text"))).alias("word"), F.lit(1).cast("bigint").alias("n"))
+    words = tx.exploded(table(spark, sf_dir, "documents"), tx.split_words(F.col("text"))).select("word", F.lit(1).cast("bigint").alias("n"))
     part = words.mapInArrow(lambda it: fold(it, True), "word string, n long")
     return part.repartition("word").mapInArrow(lambda it: fold(it, False), "word string, n long")
 
@@ -53,12 +53,12 @@ def word_count_two_phase(spark, sf_dir):
     SELECT word, count(*) AS n FROM (SELECT unnest(p) AS word FROM k) GROUP BY word""")
 def word_count_keeping_empty(spark, sf_dir):
     """The variant that counts the empty word before a leading non-word character."""
-    return tx.word_count(table(spark, sf_dir, "documents"), tx.tokens_with_empty(F.col("text")))
+    return tx.word_count(table(spark, sf_dir, "documents"), tx.tokens_with_empty(F.col("text")), True)
 
 
 @R.query("SELECT word, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS word FROM conversations) GROUP BY word")
 def word_count_by_space(spark, sf_dir):
-    return tx.word_count(table(spark, sf_dir, "conversations"), tx.space_tokens(F.col("text")))
+    return tx.word_count(table(spark, sf_dir, "conversations"), tx.space_tokens(F.col("text")), True)
 
 
 _LINES = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)"
