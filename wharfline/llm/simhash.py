@@ -216,7 +216,11 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     """
     keyed = docs.select(F.col(doc_id).alias("__id"), F.xxhash64(F.col(text)).alias("__hash"), F.col(text).alias("__text"))
     prints = materialise(fingerprints(keyed, "__text", shingle), "simhash-prints")
-    grouped = components(prints, "__id", "fingerprint", max_distance)
+    return keep_least(docs, prints, components(prints, "__id", "fingerprint", max_distance), doc_id, text)
+
+
+def keep_least(docs: DataFrame, prints: DataFrame, grouped: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The row of ``docs`` with the least (__id, __hash) of each ``component_root``."""
     order = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__hash").alias("hash"))
     best = grouped.groupBy("component_root").agg(F.min(order).alias("best")).select("best.id", "best.hash")
     rows = prints.groupBy("__id", "__hash").count()
