@@ -107,6 +107,29 @@ def test_components(spark):
     assert got == {x: find(x) for x in list(root)}
 
 
+def test_components_of_all_orders(spark):
+    """Every order line is a link; union-find over the whole tables."""
+    import pandas as pd
+
+    orders, items = pd.read_parquet(f"{SF}/orders.parquet"), pd.read_parquet(f"{SF}/lineitem.parquet")
+    both = orders.merge(items, left_on="o_orderkey", right_on="l_orderkey")
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in zip(both.o_custkey.tolist(), (both.l_partkey + graph.SHIFT).tolist(), strict=True):
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    got = dict(values(graph.components_whole(spark, SF).select("node", "component")))
+    assert got == {x: find(x) for x in list(root)}
+    assert len(got) > graph.components(spark, SF).count()
+
+
 def test_pagerank_properties(spark):
     g = graph.with_degree(graph.edges(spark, SF))
     ranks = graph.pagerank(g, 3).toPandas()

@@ -175,6 +175,14 @@ def components(spark, sf_dir):
     return connected_components(e)
 
 
+@R.query()
+def components_whole(spark, sf_dir):
+    """Connected components of all orders and their parts; too many links for the recursive SQL."""
+    orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    e = orders.join(items, orders.o_orderkey == items.l_orderkey).select(F.col("o_custkey").alias("src"), (F.col("l_partkey") + SHIFT).alias("dst")).distinct()
+    return connected_components(e)
+
+
 _TWEETS = "t AS (SELECT DISTINCT l_partkey AS url, l_suppkey AS tweeter FROM lineitem WHERE l_quantity > 45), f AS (SELECT DISTINCT l_suppkey AS tweeter, o_custkey AS follower FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND l_discount > 0.07)"
 
 
@@ -187,6 +195,18 @@ def reach(spark, sf_dir):
     return reach_of(spread, follow)
 
 
+_ALL_TWEETS = "t AS (SELECT DISTINCT l_partkey AS url, l_suppkey AS tweeter FROM lineitem), f AS (SELECT DISTINCT l_suppkey AS tweeter, o_custkey AS follower FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+
+
+@R.query(f"WITH {_ALL_TWEETS} SELECT url, count(DISTINCT follower) AS reach FROM t JOIN f USING (tweeter) GROUP BY url")
+def reach_whole(spark, sf_dir):
+    """The same over all order lines."""
+    items, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    spread = items.select(F.col("l_partkey").alias("url"), F.col("l_suppkey").alias("tweeter")).distinct()
+    follow = items.join(orders, items.l_orderkey == orders.o_orderkey).select(F.col("l_suppkey").alias("tweeter"), F.col("o_custkey").alias("follower")).distinct()
+    return reach_of(spread, follow)
+
+
 def reach_of(spread: DataFrame, follow: DataFrame) -> DataFrame:
     """(url, reach) from (url, tweeter) and (tweeter, follower) pairs."""
     met = spread.join(follow, "tweeter").groupBy("url", "follower").agg(F.lit(1).alias("one"))
