@@ -95,3 +95,14 @@ def test_whole_table(spark):
         body = re.search(r"<article>(.*?)(</article>|\Z)", pages[r.page_id], re.S)[1]
         spaced = re.sub(r"<[^>]*>", "", re.sub(r"</?(?:p|h1|br)\b[^>]*>", " ", body))
         assert r.text == " ".join(html.unescape(spaced).split()) and r.n_chars == len(r.text)
+
+
+def test_pages_nested_500_deep():
+    """Noise and the article at the bottom, closed one by one, and unclosed inline tags above."""
+    inner = "<nav>menu words</nav><article><div>first part</div><p>second part</p></article><footer>legal words</footer>"
+    assert hx.extract("http://h/", "<div>" * 500 + inner + "</div>" * 500, set()) == "first part second part"
+    fonts = "<div>" + "<font color=red>" * 500 + inner + "</div><aside>more</aside>"
+    assert hx.extract("http://h/", fonts, set()) == "first part second part"
+    open_inside = "<article>" + "<div>" * 300 + "deep" + "</div>" * 300 + "<p>still the article</p></article><p>outside</p>"
+    assert hx.extract("http://h/", open_inside, set()) == "deep still the article"
+    assert len(hx.blocks("<b>" * 30000 + "x" + "</i><p>y" * 30000)) > 1

@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,6 +45,8 @@ from wharfline.session import materialise
 DECAY = 0.9
 PRIOR_PAGES = 16
 LEAST = 0.5
+#: A longer path goes on from its hash.
+LONG_PATH = 4096
 
 # HTML's element classes, and the names by which elements call themselves boilerplate.
 _RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
@@ -106,7 +109,8 @@ def _kind(tag: str, attrs: str, outer: int) -> tuple[int, str]:
 def blocks(page: str) -> list[tuple[str, str, str, int]]:
     """(path, presentation, text, kind) of every block of text, in page order."""
     out: list[tuple[str, str, str, int]] = []
-    stack: list[tuple[str, str, int]] = [("", "", NEUTRAL)]  # tag, path, kind
+    stack: list[tuple[str, str, int, str]] = [("", "", NEUTRAL, "")]  # tag, path, kind, path of the block
+    opened: defaultdict[str, list[int]] = defaultdict(list)  # where in the stack each tag is
     text: list[str] = []
     around: list[str] = []
 
@@ -115,16 +119,22 @@ def blocks(page: str) -> list[tuple[str, str, str, int]]:
         if text:
             whole = " ".join("".join(text).split())
             if whole:
-                at = next(s for s in reversed(stack) if s[0] not in _INLINE)
-                out.append((at[1], " ".join(around), whole, stack[-1][2]))
+                out.append((stack[-1][3], " ".join(around), whole, stack[-1][2]))
         text, around = [], []
 
     def close(depth: int) -> None:
         while len(stack) > depth:
-            tag, _, kind = stack[-1]
+            tag, _, kind, _ = stack[-1]
             if tag not in _INLINE or kind != stack[-2][2]:
                 flush()
             stack.pop()
+            opened[tag].pop()
+
+    def close_last(tag: str, scope: frozenset[str]) -> None:
+        """Close the innermost ``tag``, unless an element of ``scope`` is inside it."""
+        depth = opened[tag][-1] if opened[tag] else 0
+        if depth and all(not opened[s] or opened[s][-1] < depth for s in scope):
+            close(depth)
 
     at, end = 0, len(page)
     while at < end:
@@ -140,7 +150,7 @@ def blocks(page: str) -> list[tuple[str, str, str, int]]:
             continue
         tag = tag.lower()
         if m[1] or m[4]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
+            depth = opened[tag][-1] if opened[tag] else 0
             if depth:
                 close(depth)
             elif tag not in _INLINE:
@@ -159,26 +169,19 @@ def blocks(page: str) -> list[tuple[str, str, str, int]]:
                 text.append(" ")
             continue
         if tag in _CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == "p":
-                    close(i)
-                    break
-                if stack[i][0] in _SCOPE:
-                    break
+            close_last("p", _SCOPE)
         elif tag in _SELF:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
-                if stack[i][0] in _SELF[tag]:
-                    break
+            close_last(tag, _SELF[tag])
         kind, label = _kind(tag, m[3] if m[2] else m[6], stack[-1][2])
         if kind != stack[-1][2]:
             flush()
         if tag in _INLINE:
             around.append(tag)
-        if len(stack) < 200:  # deeper elements count as their ancestor
-            stack.append((tag, f"{stack[-1][1]}/{tag}" + (f".{label}" if label else ""), kind))
+        path = f"{stack[-1][1]}/{tag}" + (f".{label}" if label else "")
+        if len(path) > LONG_PATH:
+            path = f"#{_long(path)}"
+        opened[tag].append(len(stack))
+        stack.append((tag, path, kind, stack[-1][3] if tag in _INLINE else path))
     flush()
     return out
 
