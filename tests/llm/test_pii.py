@@ -115,3 +115,16 @@ def test_whole_table(spark):
         want = ",".join(f"{pii.KINDS[k]}:{a}:{z}" for a, k, z in plain(t))
         assert got.base_sha256[i] == hashlib.sha256(want.encode()).hexdigest()
         assert set(filter(None, want.split(","))) <= set(got.spans[i].split(","))
+
+
+def test_fifty_repeats_get_one_label():
+    """However many bare repeats there are, and wherever the full mention is."""
+    model = pii.train()
+    for bare in ("555-6946", "(961) 555-6946"):
+        for at in (0, 25, 50):
+            parts = [f"later {bare} please"] * 50
+            parts.insert(at, "call +1 (961) 555-6946 now")
+            text = " ".join(parts) + " order 555-1234 is other"
+            (base, added), = pii.all_spans([text], model)
+            found = [text[a:z] for a, k, z in added if k == 3]
+            assert len(base) == 1 and found.count(bare) == 50 and "555-1234" not in found

@@ -6,7 +6,8 @@ white space) that hold a digit or an ``@``; any other token can only be plain,
 so leaving it out changes no marginal. Neighbouring nodes that can be pieces of
 one number share a chain potential. Nodes whose text, last seven digits or mail name is the same share a
 skip potential, each with the last one before it, however far apart in the
-document. Loopy sum-product message passing then makes labels agree: a phone
+document. Equal runs of a document are the same nodes, so that equal tokens get
+equal labels, and how often or how far away they are repeated decides nothing. Loopy sum-product message passing then makes labels agree: a phone
 number without its ``+`` is found because it was written in full elsewhere.
 
 The potentials are trained here, by pseudo-likelihood, on ``TRAIN_DOCS``
@@ -175,6 +176,20 @@ def graph(text: str) -> tuple[list[tuple[int, int]], list[list[float]], list[tup
     return spots, feats, chain, sorted(skips)
 
 
+def _shared(text: str, spots: list[tuple[int, int]], chain: list[tuple[int, int]]) -> list[int]:
+    """For each token the first at the same place of an equal run."""
+    joined, first, out = {b for _, b in chain}, {}, []
+    start = 0
+    for i in range(len(spots) + 1):
+        if i in joined or i == start:
+            continue
+        run = text[spots[start][0] : spots[i - 1][1]]
+        at = first.setdefault(run, start)
+        out += range(at, at + i - start)
+        start = i
+    return out
+
+
 def _example(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
     """A document and its true (start, kind, end) spans."""
     word = lambda: "".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(2, 8)))
@@ -291,22 +306,24 @@ def _written(spans: list[tuple[int, int, int]]) -> str:
 def all_spans(texts: list[str], model: tuple[np.ndarray, ...], certain: float = CERTAIN) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
     """(base spans, added spans) of each text, message passing over all at once."""
     base = [base_spans(t) for t in texts]
-    feats, chain, skip, of, spots = [], [], [], [], []
+    feats, chain, skip, of, spots, same = [], [], [], [], [], []
     for i, t in enumerate(texts):
         if not _MARK.search(t):
             continue
         sp, f, c, s = graph(t)
-        at = len(feats)
+        at, like = len(feats), _shared(t, sp, c)
         feats += f
         chain += [(a + at, b + at) for a, b in c]
-        skip += [(a + at, b + at) for a, b in s]
+        skip += sorted({(min(x, y) + at, max(x, y) + at) for x, y in ((like[a], like[b]) for a, b in s) if x != y})
+        same += [i + at for i in like]
         of += [i] * len(sp)
         spots += sp
     added: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     if feats:
         x = np.array(feats)
         pairs = lambda e: np.array(e, np.int64).reshape(-1, 2)
-        p = marginals(x, pairs(chain), pairs(skip), model)
+        own = [(a, b) for a, b in chain if same[a] == a]
+        p = marginals(x, pairs(own), pairs(skip), model)[same]
         label = np.where(p[:, 1:].max(axis=1) >= certain, p[:, 1:].argmax(axis=1), -1).tolist()
         joined = {b for _, b in chain}
         taken = [iter(b) for b in base]
