@@ -5,32 +5,35 @@ from pyspark.sql import functions as F
 from wharfline.llm import line_dedup as ld
 
 
-def plain(docs, min_words=25, max_lines=6):
-    """Every window but the first of its kind is deleted; [(text, lines, removed)] by row."""
-    windows, order = {}, {}
-    for r, (i, t) in enumerate(docs):
-        if t is None:
-            continue
-        full = [(k, x.strip(" ")) for k, x in enumerate(t.split("\n")) if x.strip(" ")]
-        for s in range(len(full)):
-            total = 0
-            for n in range(1, max_lines + 1):
-                if s + n > len(full):
-                    break
-                total += full[s + n - 1][1].count(" ") + 1
-                if total >= min_words or n == max_lines:
-                    key = tuple(x for _, x in full[s : s + n])
-                    windows.setdefault(key, []).append((r, s, [k for k, _ in full[s : s + n]]))
-                    break
-    gone = [set() for _ in docs]
-    for found in windows.values():
-        for r, _, lines in sorted(found, key=lambda f: (docs[f[0]][0], f[1]))[1:]:
-            gone[r].update(lines)
-    out = []
-    for (i, t), g in zip(docs, gone):
-        lines = [] if t is None else t.split("\n")
-        out.append((None if t is None else "\n".join(x for k, x in enumerate(lines) if k not in g), sum(bool(x.strip(" ")) for x in lines), len(g)))
-    return out
+def plain(docs, min_words=5):
+    """Maximal runs of equal lines of all pairs of places; [(text, lines, removed)] by row."""
+    known = sorted({(i is not None, i, t) for i, t in docs if t is not None}, key=lambda d: (d[0], d[1] or 0, d[2]))
+    full = [[x.strip(" ") for x in t.split("\n") if x.strip(" ")] for _, _, t in known]
+    at = {}
+    for r, lines in enumerate(full):
+        for k, x in enumerate(lines):
+            at.setdefault(x, []).append((r, k))
+    gone = [set() for _ in known]
+    for places in at.values():
+        for n, (r, k) in enumerate(places):
+            for r2, k2 in places[n + 1 :]:
+                before = k and k2 and full[r][k - 1] == full[r2][k2 - 1]
+                if before:
+                    continue  # not where the run begins
+                size = 0
+                while k + size < len(full[r]) and k2 + size < len(full[r2]) and full[r][k + size] == full[r2][k2 + size]:
+                    size += 1
+                if sum(x.count(" ") + 1 for x in full[r][k : k + size]) >= min_words:
+                    gone[r2].update(range(k2, k2 + size))
+    cut = {}
+    for (_, i, t), g in zip(known, gone):
+        no, lines = -1, []
+        for x in t.split("\n"):
+            no += bool(x.strip(" "))
+            if not x.strip(" ") or no not in g:
+                lines.append(x)
+        cut[i, t] = ("\n".join(lines), no + 1, len(g))
+    return [(None, 0, 0) if t is None else cut[i, t] for i, t in docs]
 
 
 def run(spark, docs):
@@ -59,7 +62,9 @@ def test_repeats_inside_a_document(spark):
 def test_repeated_rows_and_null_ids(spark):
     line = " ".join(f"w{i}" for i in range(30))
     got = run(spark, [(1, line), (1, line), (None, line), (2, line)])
-    assert got == [("", 1, 1), ("", 1, 1), (line, 1, 0), ("", 1, 1)]
+    assert got == [("", 1, 1), ("", 1, 1), (line, 1, 0), ("", 1, 1)] == plain([(1, line), (1, line), (None, line), (2, line)])
+    again = [(1, line), (1, line), (2, None), (2, None)]
+    assert run(spark, again) == plain(again) == [(line, 1, 0), (line, 1, 0), (None, 0, 0), (None, 0, 0)]
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert ld.dedup_lines(empty).count() == 0
 
@@ -71,3 +76,44 @@ def test_planted_passage_of_fifty_words(spark):
     got = run(spark, docs)
     assert got[0][2] == 0 and all(r[2] == len(parts) for r in got[1:])
     assert [r[0] for r in got[1:]] == [f"own {i} start\nown {i} end" for i in range(1, 5)]
+
+
+def test_runs_are_extended_to_their_last_line(spark):
+    words = lambda k, n: " ".join(f"{k}x{j}" for j in range(n))
+    docs = [(1, "\n".join([words("a", 30), words("b", 3), words("c", 3), "end one"])), (2, "\n".join([words("a", 30), words("b", 3), words("c", 3), "other"]))]
+    assert run(spark, docs) == plain(docs) == [(docs[0][1], 4, 0), ("other", 4, 3)]
+    docs = [(1, "\n".join(["first", words("b", 3), words("c", 3), words("a", 30)])), (2, "\n".join(["it", words("b", 3), words("c", 3), words("a", 30)]))]
+    assert run(spark, docs) == plain(docs) == [(docs[0][1], 4, 0), ("it", 4, 3)]
+    # the earlier places of a run's two ends are in unlike documents
+    docs = [(1, "p q\nr s t\nu"), (2, "z\nr s t\nu v"), (3, "p q\nr s t\nu v\nw")]
+    assert run(spark, docs) == plain(docs)
+    over = [(1, "\n".join(["a b c", "d e"] * 3)), (2, "same\n" * 9)]
+    assert run(spark, over) == plain(over) == [("a b c\nd e", 6, 4), ("same\n", 9, 8)]
+
+
+def test_guarantee_in_words(spark):
+    """A run of five words in however many lines is deleted, one of four stays."""
+    for lines in (["a b c d e"], ["a", "b", "c", "d", "e"], ["a b", "c", "d e"], ["a b c", "d e f g"]):
+        docs = [(k, "\n".join([f"own {k}", *lines, f"tail {k}"])) for k in range(3)]
+        assert [r[2] for r in run(spark, docs)] == [0, len(lines), len(lines)]
+        shorter = [(k, "\n".join([f"own {k}", "a b", "c d", f"tail {k}"])) for k in range(3)]
+        assert [r[2] for r in run(spark, shorter)] == [0, 0, 0]
+
+
+def test_columns_of_the_caller_stay(spark):
+    line = " ".join(f"w{i}" for i in range(30))
+    df = spark.createDataFrame([(1, line, 888, "r", 7, "l"), (2, line, 889, "s", 8, "m")], "doc_id long, text string, n_lines int, n_removed string, __hash long, `__lines` string").withColumn("a.b", F.lit(5)).withColumn("N_LINES_", F.lit(6))
+    got = ld.dedup_lines(df).orderBy("doc_id")
+    assert got.columns == [*df.columns, "n_lines__", "n_removed_"]
+    assert [tuple(r) for r in got.collect()] == [(1, line, 888, "r", 7, "l", 5, 6, 1, 0), (2, "", 889, "s", 8, "m", 5, 6, 1, 1)]
+
+
+def test_every_way_to_join_the_list(spark, monkeypatch):
+    line = " ".join(f"w{i}" for i in range(30))
+    docs = [(i, f"{line}\nown {i}") for i in range(40)]
+    want = plain(docs)
+    assert run(spark, docs) == want
+    monkeypatch.setattr(ld, "SENT_BYTES", 0)
+    assert run(spark, docs) == want
+    monkeypatch.setattr(ld, "HASHED_BYTES", 0)
+    assert run(spark, docs) == want

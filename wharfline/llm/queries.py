@@ -123,24 +123,19 @@ ORACLE_SQL = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN nh USING (r) LEFT JOIN ni USING (r)""",
+    # maximal runs of equal lines at two places, by the diagonal they lie on; the later place goes
     "op3_line_dedup": """
-        WITH raw AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
-        l AS (SELECT r, doc_id, no, trim(ls[no], ' ') AS line FROM raw, unnest(generate_series(1, len(ls))) AS s(no) WHERE trim(ls[no], ' ') <> ''),
+        WITH known AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, text) AS r, doc_id, text, string_split(text, chr(10)) AS ls FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
+        l AS (SELECT r, no, trim(ls[no], ' ') AS line FROM known, unnest(generate_series(1, len(ls))) AS s(no) WHERE trim(ls[no], ' ') <> ''),
         u AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY no) AS k, length(line) - length(replace(line, ' ', '')) + 1 AS c FROM l),
-        f AS (SELECT *, count(*) OVER (PARTITION BY r ORDER BY k ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS n,
-                     list(line) OVER (PARTITION BY r ORDER BY k ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS seq,
-                     sum(c) OVER (PARTITION BY r ORDER BY k ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) AS s2,
-                     sum(c) OVER (PARTITION BY r ORDER BY k ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS s3,
-                     sum(c) OVER (PARTITION BY r ORDER BY k ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS s4,
-                     sum(c) OVER (PARTITION BY r ORDER BY k ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS s5 FROM u),
-        z AS (SELECT *, CASE WHEN c >= 25 THEN 1 WHEN s2 >= 25 THEN 2 WHEN s3 >= 25 THEN 3 WHEN s4 >= 25 THEN 4 WHEN s5 >= 25 THEN 5 WHEN n = 6 THEN 6 END AS size FROM f),
-        w AS (SELECT r, k, size, row_number() OVER (PARTITION BY array_to_string(seq[1:size], chr(10)) ORDER BY doc_id, k) AS nth FROM z WHERE size IS NOT NULL),
-        gone AS (SELECT DISTINCT r, x AS k FROM w, unnest(generate_series(k, k + size - 1)) AS s(x) WHERE nth > 1),
-        gone_no AS (SELECT r, no FROM gone JOIN u USING (r, k)),
-        kept AS (SELECT r, string_agg(ls[no], chr(10) ORDER BY no) AS t FROM (SELECT r, ls, no FROM raw, unnest(generate_series(1, len(ls))) AS s(no)) ANTI JOIN gone_no USING (r, no) GROUP BY r)
-        SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(t, '') END AS text,
-               coalesce(a.n, 0) AS n_lines, coalesce(b.n, 0) AS n_removed
-        FROM raw LEFT JOIN kept USING (r) LEFT JOIN (SELECT r, count(*) AS n FROM u GROUP BY r) a USING (r) LEFT JOIN (SELECT r, count(*) AS n FROM gone GROUP BY r) b USING (r)""",
+        p AS (SELECT a.r AS ra, b.r AS rb, b.k - a.k AS diagonal, b.k, b.no, b.c FROM u a JOIN u b USING (line) WHERE a.r < b.r OR (a.r = b.r AND a.k < b.k)),
+        g AS (SELECT *, k - row_number() OVER (PARTITION BY ra, rb, diagonal ORDER BY k) AS run FROM p),
+        f AS (SELECT *, sum(c) OVER (PARTITION BY ra, rb, diagonal, run) AS words FROM g),
+        gone AS (SELECT DISTINCT rb AS r, no FROM f WHERE words >= 5),
+        kept AS (SELECT r, string_agg(ls[no], chr(10) ORDER BY no) AS t FROM (SELECT r, ls, no FROM known, unnest(generate_series(1, len(ls))) AS s(no)) ANTI JOIN gone USING (r, no) GROUP BY r)
+        SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t, '') END AS text, coalesce(n.n, 0) AS n_lines, coalesce(x.n, 0) AS n_removed
+        FROM documents d LEFT JOIN known w ON d.doc_id IS NOT DISTINCT FROM w.doc_id AND d.text = w.text LEFT JOIN kept USING (r)
+        LEFT JOIN (SELECT r, count(*) AS n FROM u GROUP BY r) n USING (r) LEFT JOIN (SELECT r, count(*) AS n FROM gone GROUP BY r) x USING (r)""",
     "op4_secret_scan": _secret_sql(),
     "op9_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
