@@ -47,11 +47,40 @@ def test_base_and_ownership(spark):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(kinds.count(k) for k in PATTERNS)
     by = {r.doc_id: r for r in got}
     assert by[3].spans == f"token:6:{6 + len(MIXED)}" and by[3].n_live == 1
-    assert by[4].spans == by[5].spans == "" and by[4].n_example == 1
+    assert by[4].n_live == by[5].n_live == 1 and (by[4].n_owners, by[4].n_repos) == (2, 2)  # copied once
     assert by[6].spans == "" and by[8].n_token == 1
     assert secret_scan.scan(df.where("false")).count() == 0
 
 
+def token(k):
+    return hashlib.sha512(str(k).encode()).hexdigest()[:20].upper() + "xyzwvutsq"
+
+
+def test_owners_and_repositories_decide(spark):
+    """Few owners and few repositories make a live credential; many of either an example."""
+    rows = [(100 + k, f"repository {k} has {token(1)} in it", "one owner", f"repo {k}") for k in range(50)]
+    rows += [(200 + k, f"of owner {k}: {token(2)}", f"owner {k}", "same name") for k in range(3)]
+    rows += [(300 + k, f"place {k} of {token(3)}", f"owner {k % 2}", f"repo {k % 4}") for k in range(8)]
+    rows += [(400 + k, f"copies of one text with {token(4)}", "one owner", "one repo") for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    by = {r.doc_id: r for r in secret_scan.scan(df, repo="lang").collect()}
+    assert all((by[100 + k].n_live, by[100 + k].n_example, by[100 + k].n_owners, by[100 + k].n_repos) == (0, 1, 1, 50) and by[100 + k].spans == "" for k in range(50))
+    assert all((by[200 + k].n_live, by[200 + k].n_owners, by[200 + k].n_repos) == (0, 3, 3) for k in range(3))
+    assert all((by[300 + k].n_live, by[300 + k].n_owners, by[300 + k].n_repos) == (1, 2, 4) for k in range(8))
+    assert all((by[400 + k].n_token, by[400 + k].n_owners, by[400 + k].n_repos) == (1, 1, 1) for k in range(30))
+    by = {r.doc_id: r for r in secret_scan.scan(df).collect()}  # each text is a repository
+    assert (by[100].n_live, by[300].n_live, by[300].n_repos, by[400].n_live, by[400].n_repos) == (0, 0, 8, 1, 1)
+
+
+def test_guards_lose_nothing(spark):
+    """What only the patterns' letters can begin, in either case, in words and beside marks."""
+    texts = ["PassWd=abcdefgh", "xAPIKEY: abcdefgh", "API_Key='abcdefgh'", "mytokens token=abcdefgh", "ſecret=abcdefgh", "AKIA" + "Z" * 12, "g" + "0" * 32 + "g", "é" + "a" * 32, "Ω" + token(9) + "Ω", "+" + token(8) + "-", "a" * 23 + " " + "b" * 31]
+    got = secret_scan.scan(spark.createDataFrame([(i, t, "o") for i, t in enumerate(texts)], "doc_id long, text string, source string")).collect()
+    for r in got:
+        assert r.base_sha256 == digest(texts[r.doc_id]), texts[r.doc_id]
+    assert [r.n_token for r in sorted(got)] == [0] * 8 + [1, 1, 0]
+
+
 def test_ownership_counts(spark):
     rows = [("h", "a", "p"), ("h", "a", "p"), ("h", "a", "q"), ("h", "b", "p"), ("h", None, None), ("g", "a", "p")]
     got = secret_scan.ownership(spark.createDataFrame(rows, "hash string, owner string, repo string"))

@@ -88,8 +88,8 @@ def _secret_sql() -> str:
         ("token", "[A-Za-z0-9+/_-]{24,}", 0, 24),
     )
     parts = " UNION ALL ".join(
-        f"""SELECT r, source, {k} AS kind, '{name}' AS name, v[i] AS value, CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a, length(m[i]) AS n
-            FROM (SELECT r, source, regexp_extract_all(t, '{q}') AS m, regexp_extract_all(t, '{q}', {g}) AS v, regexp_split_to_array(t, '{q}') AS p FROM d) AS s, unnest(generate_series(1, len(m))) AS u(i) WHERE length(v[i]) >= {least}"""
+        f"""SELECT r, source, t, {k} AS kind, '{name}' AS name, v[i] AS value, CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a, length(m[i]) AS n
+            FROM (SELECT r, source, t, regexp_extract_all(t, '{q}') AS m, regexp_extract_all(t, '{q}', {g}) AS v, regexp_split_to_array(t, '{q}') AS p FROM d) AS s, unnest(generate_series(1, len(m))) AS u(i) WHERE length(v[i]) >= {least}"""
         for k, (name, q, g, least) in enumerate(kinds)
     )
     return f"""
@@ -97,13 +97,13 @@ def _secret_sql() -> str:
         s AS ({parts}),
         c AS (SELECT * FROM s WHERE kind < 3 OR (regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND len(list_distinct(string_split(value, ''))) >= 12
               AND NOT EXISTS (SELECT 1 FROM s AS b WHERE b.r = s.r AND b.kind < 3 AND b.a < s.a + s.n AND s.a < b.a + b.n))),
-        o AS (SELECT value, count(DISTINCT coalesce('=' || source, '')) AS owners FROM c GROUP BY value),
-        j AS (SELECT c.*, owners <= 1 AS live, name || ':' || a || ':' || (a + n) AS w FROM c JOIN o USING (value)),
+        o AS (SELECT value, count(DISTINCT coalesce('=' || source, '')) AS owners, count(DISTINCT coalesce('=' || source, '') || chr(1) || t) AS repos FROM c GROUP BY value),
+        j AS (SELECT c.*, owners, repos, owners <= 2 AND repos <= 4 AS live, name || ':' || a || ':' || (a + n) AS w FROM c JOIN o USING (value)),
         g AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
                      string_agg(w, ',' ORDER BY a, kind) FILTER (kind < 3) AS base, string_agg(w, ',' ORDER BY a, kind) FILTER (kind < 3 OR live) AS spans,
-                     count(*) FILTER (kind = 3 AND live) AS n_token, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example FROM j GROUP BY r)
+                     count(*) FILTER (kind = 3 AND live) AS n_token, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example, max(owners) AS n_owners, max(repos) AS n_repos FROM j GROUP BY r)
         SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
-               coalesce(spans, '') AS spans, coalesce(n_token, 0) AS n_token, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+               coalesce(spans, '') AS spans, coalesce(n_token, 0) AS n_token, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(n_owners, 0) AS n_owners, coalesce(n_repos, 0) AS n_repos
         FROM d LEFT JOIN g USING (r)"""
 
 
