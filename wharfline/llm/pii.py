@@ -3,18 +3,27 @@
 Base spans are the non-overlapping matches, from the left, of four patterns and
 always stay. The field adds to them. Its nodes are the tokens (runs without
 white space) that hold a digit or an ``@``; any other token can only be plain,
-so leaving it out changes no marginal. Neighbouring nodes that can be pieces of
-one number share a chain potential. Nodes whose text, last seven digits or mail name is the same share a
-skip potential, each with the last one before it, however far apart in the
-document. Equal runs of a document are the same nodes, so that equal tokens get
-equal labels, and how often or how far away they are repeated decides nothing. Loopy sum-product message passing then makes labels agree: a phone
-number without its ``+`` is found because it was written in full elsewhere.
+so leaving it out changes no marginal. Neighbouring tokens that can be pieces of
+one number are a run and share chain potentials; a run ends where a number
+begins (``+``, a bracket, groups that pass the card checksum). Equal runs of a
+document are the same nodes, so equal tokens get equal labels, and how often or
+how far away they are repeated decides nothing. Nodes whose text, last seven
+digits or mail name is the same share a skip potential with the fullest mention
+among them, however far apart in the document. What a node hears over its skip
+edges is averaged, so many bare repeats don't outvote a full mention. Loopy
+sum-product message passing then makes labels agree, until no message of the
+document changes by more than ``TOLERANCE``: a phone number without its ``+`` is
+found because it was written in full elsewhere. An added span ends where the
+label changes and with its run.
 
 The potentials are trained here, by pseudo-likelihood, on ``TRAIN_DOCS``
 generated documents whose labels are known by construction.
 
-Defined results: a null text is empty; repeated rows each get their own result;
-an empty table gives no rows; other columns are ignored.
+Defined results: a null text is empty, and an empty text has no spans; long
+texts are taken whole, runs of any length included; spans that begin at the same
+place are in the order of their kinds, and of equally full mentions the first
+is the one that others refer to; repeated rows each get their own result; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +32,7 @@ import hashlib
 import random
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -35,7 +45,8 @@ KINDS = ("email", "ip", "card", "phone")
 TRAIN_DOCS = 400
 SEED = 7
 CERTAIN = 0.9
-ROUNDS = 12
+#: Messages are passed until they change by less; loops that never settle end after ROUNDS.
+TOLERANCE, ROUNDS = 1e-6, 2000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -110,9 +121,9 @@ def _trim(text: str, a: int, z: int) -> tuple[int, int]:
     return a, z
 
 
-def _shape(s: str, joined: str, first: bool) -> list[float]:
-    """Features of one token; ``joined`` is the run of neighbours it is part of."""
-    d, all_d = _digits(s), _digits(joined)
+def _shape(s: str, joined: str, all_d: str, first: bool) -> list[float]:
+    """Features of one token; ``joined`` is the run of neighbours it is part of, ``all_d`` its digits."""
+    d = _digits(s)
     letters = sum(c.isalpha() for c in s)
     parts = s.split(".")
     quad = len(parts) == 4 and all(p.isascii() and p.isdigit() for p in parts)
@@ -133,7 +144,7 @@ def _shape(s: str, joined: str, first: bool) -> list[float]:
         float(quad and all(len(p) <= 3 and int(p) <= 255 for p in parts)),
         float(joined.startswith("+")),
         float(joined.startswith("+") and 9 <= len(all_d) <= 15),
-        float("(" in joined),
+        float("(" in joined[:6]),
         float(s.count("-") == 1 and letters == 0),
         float(s.count("-") > 1),
         float(12 <= len(all_d) <= 19 and luhn(all_d)),
@@ -148,48 +159,92 @@ def _whole(s: str) -> bool:
     return "@" in s or s.count(".") >= 3 or len(_digits(s)) >= 12
 
 
-def graph(text: str) -> tuple[list[tuple[int, int]], list[list[float]], list[tuple[int, int]], list[tuple[int, int]]]:
-    """Tokens, features, chain edges and skip edges of one document."""
-    spots = [x for x in (_trim(text, a, z) for a, z in tokens(text)) if x[0] < x[1]]
-    runs, chain = [], []
-    for i, (a, _) in enumerate(spots):
+def _runs(text: str, spots: list[tuple[int, int]]) -> list[list[int]]:
+    """Neighbouring tokens that can be pieces of one number."""
+    runs: list[list[int]] = []
+    for i, (a, z) in enumerate(spots):
         before = spots[i - 1] if i else (0, 0)
-        if i and text[before[1] : a] == " " and not _whole(text[slice(*before)]) and not _whole(text[a : spots[i][1]]):
-            chain.append((i - 1, i))
+        piece = i and text[before[1] : a] == " " and not _whole(text[slice(*before)]) and not _whole(text[a:z])
+        if piece and (text[a] == "+" or text[a] == "(" and (len(runs[-1]) > 1 or len(_digits(text[slice(*before)])) > 3)):
+            piece = False  # a number begins here, unless its country code is all before it
+        if piece:
             runs[-1].append(i)
         else:
             runs.append([i])
-    feats: list[list[float]] = []
+    out = []
     for run in runs:
-        joined = text[spots[run[0]][0] : spots[run[-1]][1]] if len(run) <= 8 else ""
-        for i in run:
-            s = text[spots[i][0] : spots[i][1]]
-            feats.append(_shape(s, joined or s, i == run[0]))
-    skips, met = set(), {}
-    for i, (a, z) in enumerate(spots):
-        s = text[a:z].lower()
-        d = _digits(s)
-        for key in {("t", s), ("d", d[-7:]) if len(d) >= 7 else ("t", s), ("m", s.partition("@")[0])}:
-            if key in met:
-                skips.add((met[key], i))
-            met[key] = i
-    return spots, feats, chain, sorted(skips)
-
-
-def _shared(text: str, spots: list[tuple[int, int]], chain: list[tuple[int, int]]) -> list[int]:
-    """For each token the first at the same place of an equal run."""
-    joined, first, out = {b for _, b in chain}, {}, []
-    start = 0
-    for i in range(len(spots) + 1):
-        if i in joined or i == start:
-            continue
-        run = text[spots[start][0] : spots[i - 1][1]]
-        at = first.setdefault(run, start)
-        out += range(at, at + i - start)
-        start = i
+        size = [z - a if text[a:z].isascii() and text[a:z].isdigit() else 0 for a, z in (spots[i] for i in run)]
+        first = k = 0
+        while k < len(run):
+            n = _card_groups("".join(text[slice(*spots[i])] for i in run[k : k + 6]), size[k : k + 6]) if len(run) > 2 else 0
+            if n:
+                out += [run[first:k]] * (first < k) + [run[k : k + n]]
+                k = first = k + n
+            else:
+                k += 1
+        if first < len(run):
+            out.append(run[first:])
     return out
 
 
+def _card_groups(digits: str, size: list[int]) -> int:
+    """How many groups of 3 to 7 digits from the first on are a card number, or 0."""
+    total = 0
+    for n, k in enumerate(size, 1):
+        if not 3 <= k <= 7:
+            return 0
+        total += k
+        if n > 2 and 12 <= total <= 19 and luhn(digits[:total]):
+            return n
+    return 0
+
+
+@dataclass
+class Field:
+    """The field of one document: nodes are the tokens of runs unlike all before them."""
+
+    spots: list[tuple[int, int]]
+    node: list[int]  # of each token
+    joined: list[bool]  # whether a token goes on with the run of the one before
+    first: list[int]  # the first token of each node
+    feats: list[list[float]]
+    chain: list[tuple[int, int]]
+    skip: list[tuple[int, int]]
+
+
+def graph(text: str) -> Field:
+    spots = [x for x in (_trim(text, a, z) for a, z in tokens(text)) if x[0] < x[1]]
+    field = Field(spots, [], [], [], [], [], [])
+    known: dict[str, int] = {}
+    groups: dict[tuple[str, str], list[int]] = {}
+    full: list[tuple] = []
+    for run in _runs(text, spots):
+        joined = text[spots[run[0]][0] : spots[run[-1]][1]]
+        at = known.setdefault(joined, len(field.first))
+        field.node += range(at, at + len(run))
+        field.joined += [k > 0 for k in range(len(run))]
+        if at < len(field.first):
+            continue
+        field.first += run
+        field.chain += [(at + k, at + k + 1) for k in range(len(run) - 1)]
+        digits = _digits(joined)
+        whole = (joined.startswith("+"), "@" in joined, len(digits))
+        for k, i in enumerate(run):
+            s = text[slice(*spots[i])]
+            field.feats.append(_shape(s, joined, digits, k == 0))
+            full.append(whole)
+            low, d = s.lower(), _digits(s)
+            for key in {("t", low), ("d", d[-7:]) if len(d) >= 7 else ("t", low), ("m", low.partition("@")[0])}:
+                groups.setdefault(key, []).append(at + k)
+    skips = set()
+    for nodes in groups.values():
+        if len(nodes) > 1:
+            hub = max(nodes, key=lambda n: (full[n], -n))
+            skips |= {(min(hub, n), max(hub, n)) for n in nodes if n != hub}
+    field.skip = sorted(skips)
+    return field
+
+
 def _example(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
     """A document and its true (start, kind, end) spans."""
     word = lambda: "".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(2, 8)))
@@ -202,9 +257,9 @@ def _example(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
     def bad_card() -> str:
         return next(x for x in iter(lambda: num(16), "") if not luhn(x))
 
-    def phone() -> tuple[str, str]:
+    def phone() -> tuple[str, list[str]]:
         a, b, c = num(3), num(3), num(4)
-        return f"+1 ({a}) {b}-{c}", rng.choice([f"({a}) {b}-{c}", f"{b}-{c}", f"1 ({a}) {b}-{c}"])
+        return f"+1 ({a}) {b}-{c}", [f"({a}) {b}-{c}", f"{b}-{c}", f"1 ({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a}{b}{c}"]
 
     def grouped(c: str) -> str:
         return rng.choice([c, " ".join(c[i : i + 4] for i in range(0, 16, 4)), "-".join(c[i : i + 4] for i in range(0, 16, 4))])
@@ -219,14 +274,15 @@ def _example(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
         elif k == 2:
             pieces.append((grouped(card()), 2))
         elif k in (3, 4):
-            full, short = phone()
+            full, shorter = phone()
             pieces.append((full, 3))
-            if k == 4:
-                pieces.append((short, 3))
+            if k == 4:  # the same number again, in one or more forms, up to 20 times each
+                for short in rng.sample(shorter, rng.choice([1, 1, 1, 2, 4])):
+                    pieces += [(short, 3)] * rng.choice([1, 1, 2, 5, 20])
         else:
-            decoys = [num(rng.randint(1, 6)), bad_card(), hashlib.sha1(num(8).encode()).hexdigest(), f"{num(1)}.{num(1)}.{num(1)}", f"20{num(2)}-0{num(1)}-1{num(1)}", f"{num(2)}:{num(2)}", f"${num(3)}.{num(2)}", f"v{num(1)}.{num(1)}", f"{num(3)}-{num(4)}", f"({num(3)})", f"@{word()}", f"{num(3)}.{num(3)}.{num(3)}.{9}{num(2)}", f"{word()}{num(3)}", num(10)]
+            decoys = [num(rng.randint(1, 6)), bad_card(), hashlib.sha1(num(8).encode()).hexdigest(), f"{num(1)}.{num(1)}.{num(1)}", f"20{num(2)}-0{num(1)}-1{num(1)}", f"{num(2)}:{num(2)}", f"${num(3)}.{num(2)}", f"v{num(1)}.{num(1)}", f"{num(3)}-{num(4)}", f"({num(3)})", f"@{word()}", f"{num(3)}.{num(3)}.{num(3)}.{9}{num(2)}", f"{word()}{num(3)}", num(10), " ".join(num(rng.randint(1, 2)) for _ in range(rng.randint(2, 9))), " ".join(num(rng.randint(3, 5)) for _ in range(2))]
             pick = rng.choice(decoys)
-            pieces += [(pick, None)] * rng.choice([1, 1, 2])
+            pieces += [(pick, None)] * rng.choice([1, 1, 2, 5, 20])
     rng.shuffle(pieces)
     text, spans = "", []
     for s, kind in pieces:
@@ -247,12 +303,11 @@ def train(n_docs: int = TRAIN_DOCS, seed: int = SEED, steps: int = 400) -> tuple
     rng, feats, labels, chain, skip = random.Random(seed), [], [], [], []
     for _ in range(n_docs):
         text, spans = _example(rng)
-        spots, f, c, s = graph(text)
-        at = len(labels)
-        feats += f
-        labels += _labels(spots, spans)
-        chain += [(a + at, b + at) for a, b in c]
-        skip += [(a + at, b + at) for a, b in s]
+        f, at = graph(text), len(labels)
+        feats += f.feats
+        labels += _labels([f.spots[i] for i in f.first], spans)
+        chain += [(a + at, b + at) for a, b in f.chain]
+        skip += [(a + at, b + at) for a, b in f.skip]
     x, y = np.array(feats), np.eye(len(KINDS) + 1)[labels]
     c, s = np.array(chain).reshape(-1, 2), np.array(skip).reshape(-1, 2)
     k = y.shape[1]
@@ -261,6 +316,7 @@ def train(n_docs: int = TRAIN_DOCS, seed: int = SEED, steps: int = 400) -> tuple
     np.add.at(after, c[:, 0], y[c[:, 1]])
     np.add.at(near, s[:, 0], y[s[:, 1]])
     np.add.at(near, s[:, 1], y[s[:, 0]])
+    near /= np.maximum(1, np.bincount(s.ravel(), minlength=len(x)))[:, None]
     w = [np.zeros((x.shape[1], k)), np.zeros((k, k)), np.zeros((k, k))]
     v = [np.zeros_like(a) for a in w]
     for _ in range(steps):
@@ -275,26 +331,40 @@ def train(n_docs: int = TRAIN_DOCS, seed: int = SEED, steps: int = 400) -> tuple
     return tuple(w)
 
 
-def marginals(feats: np.ndarray, chain: np.ndarray, skip: np.ndarray, model: tuple[np.ndarray, ...], rounds: int = ROUNDS) -> np.ndarray:
-    """Label marginals of all nodes by damped loopy sum-product messages."""
+def marginals(feats: np.ndarray, chain: np.ndarray, skip: np.ndarray, model: tuple[np.ndarray, ...], doc: np.ndarray | None = None, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> np.ndarray:
+    """Label marginals of all nodes by damped loopy sum-product messages.
+
+    A document (``doc`` of each node) whose messages have settled is left alone,
+    so its marginals don't depend on what else is passed at once.
+    """
     emit, a, s = model
-    local = feats @ emit
-    n, k = local.shape
+    total = feats @ emit
+    n, k = total.shape
+    local, doc = total.copy(), np.zeros(n, np.int64) if doc is None else doc
     src = np.concatenate((chain[:, 0], chain[:, 1], skip[:, 0], skip[:, 1]))
     dst = np.concatenate((chain[:, 1], chain[:, 0], skip[:, 1], skip[:, 0]))
-    pot = np.concatenate((np.repeat(a[None], len(chain), 0), np.repeat(a.T[None], len(chain), 0), np.repeat(s[None], 2 * len(skip), 0)))
     nc, ns = len(chain), len(skip)
+    kind = np.repeat([0, 1, 2], [nc, nc, 2 * ns])  # forward, backward, skip
+    pots = np.stack((a, a.T, s))
+    weight = np.ones(len(src))
+    weight[2 * nc :] = 1 / np.maximum(1, np.bincount(dst[2 * nc :], minlength=n))[dst[2 * nc :]]
     back = np.concatenate((np.arange(nc) + nc, np.arange(nc), np.arange(ns) + 2 * nc + ns, np.arange(ns) + 2 * nc))
-    msg = np.zeros((len(src), k))
-    total = local.copy()
-    for _ in range(rounds if len(src) else 0):
-        into = total[src] - msg[back]
-        new = into[:, :, None] + pot
+    msg, live = np.zeros((len(src), k)), np.arange(len(src))
+    for _ in range(rounds):
+        if not live.size:
+            break
+        into = total[src[live]] - msg[back[live]] * weight[back[live], None]
+        new = into[:, :, None] + pots[kind[live]]
         top = new.max(axis=1)
         new = top + np.log(np.exp(new - top[:, None]).sum(axis=1))
-        msg = 0.5 * msg + 0.5 * (new - new.max(axis=1, keepdims=True))
-        total = local.copy()
-        np.add.at(total, dst, msg)
+        new = 0.5 * msg[live] + 0.5 * (new - new.max(axis=1, keepdims=True))
+        change = np.zeros(int(doc.max()) + 1)
+        np.maximum.at(change, doc[dst[live]], np.abs(new - msg[live]).max(axis=1))
+        msg[live] = new
+        met = np.unique(dst[live])
+        total[met] = local[met]
+        np.add.at(total, dst[live], new * weight[live, None])
+        live = live[change[doc[dst[live]]] > tolerance]
     p = np.exp(total - total.max(axis=1, keepdims=True))
     return p / p.sum(axis=1, keepdims=True)
 
@@ -306,26 +376,24 @@ def _written(spans: list[tuple[int, int, int]]) -> str:
 def all_spans(texts: list[str], model: tuple[np.ndarray, ...], certain: float = CERTAIN) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
     """(base spans, added spans) of each text, message passing over all at once."""
     base = [base_spans(t) for t in texts]
-    feats, chain, skip, of, spots, same = [], [], [], [], [], []
+    feats, chain, skip, doc, of, spots, node, joined = [], [], [], [], [], [], [], []
     for i, t in enumerate(texts):
         if not _MARK.search(t):
             continue
-        sp, f, c, s = graph(t)
-        at, like = len(feats), _shared(t, sp, c)
-        feats += f
-        chain += [(a + at, b + at) for a, b in c]
-        skip += sorted({(min(x, y) + at, max(x, y) + at) for x, y in ((like[a], like[b]) for a, b in s) if x != y})
-        same += [i + at for i in like]
-        of += [i] * len(sp)
-        spots += sp
+        f, at = graph(t), len(feats)
+        feats += f.feats
+        chain += [(a + at, b + at) for a, b in f.chain]
+        skip += [(a + at, b + at) for a, b in f.skip]
+        doc += [i] * len(f.feats)
+        node += [n + at for n in f.node]
+        joined += f.joined
+        of += [i] * len(f.spots)
+        spots += f.spots
     added: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     if feats:
-        x = np.array(feats)
         pairs = lambda e: np.array(e, np.int64).reshape(-1, 2)
-        own = [(a, b) for a, b in chain if same[a] == a]
-        p = marginals(x, pairs(own), pairs(skip), model)[same]
+        p = marginals(np.array(feats), pairs(chain), pairs(skip), model, np.array(doc))[node]
         label = np.where(p[:, 1:].max(axis=1) >= certain, p[:, 1:].argmax(axis=1), -1).tolist()
-        joined = {b for _, b in chain}
         taken = [iter(b) for b in base]
         held = [next(t, None) for t in taken]
         ends = [0] * len(texts)  # the furthest end of the base spans passed
@@ -337,7 +405,7 @@ def all_spans(texts: list[str], model: tuple[np.ndarray, ...], certain: float =
             if k < 0 or ends[i] > a:
                 last = None
                 continue
-            if last == (j - 1, k) and j in joined:
+            if last == (j - 1, k) and joined[j]:
                 s, _, _ = added[i].pop()
                 added[i].append((s, k, z))
             else:
