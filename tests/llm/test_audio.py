@@ -10,17 +10,13 @@ def prints(tunes):
 
 
 def near(a, b):
-    """The link relation, place by place."""
-    r = audio.REACH
-    for i in np.flatnonzero(a):
-        for j in np.flatnonzero(b == a[i]):
-            n = wrong = 0
-            for d in range(-r, r + 1):
-                if 0 <= i + d < len(a) and 0 <= j + d < len(b) and a[i + d] and b[j + d]:
-                    n += 1
-                    wrong += int(a[i + d] ^ b[j + d]).bit_count()
-            if n >= audio.MIN_OVERLAP and wrong <= audio.MAX_ERROR * 32 * n:
-                return True
+    """The link relation: whole fingerprints, at every offset where two filed integers agree."""
+    for i in audio.filed_places(a):
+        for j in audio.filed_places(b):
+            if a[i] == b[j]:
+                error, n = audio.bit_error(a, b, int(i - j))
+                if n >= max(audio.MIN_OVERLAP, audio.SHARE * min((a != 0).sum(), (b != 0).sum())) and error <= audio.MAX_ERROR:
+                    return True
     return False
 
 
@@ -87,3 +83,59 @@ def test_split_integer_loses_nothing(spark):
         assert near(codes[r.src], codes[r.dst])
         root[find(r.src)] = find(r.dst)
     assert len({find(i) for i in range(24)}) == 1
+
+
+def plain_votes(a, b):
+    return {o: n for o in range(1 - len(b), len(a)) if (n := sum(0 <= i + o < len(a) and a[i + o] == b[i] != 0 for i in range(len(b))))}
+
+
+def test_offset_votes_against_all_pairs():
+    rng = np.random.default_rng(5)
+    for kinds, n, m in ((2, 300, 200), (5, 60, 90), (400, 500, 300), (1, 400, 400), (3, 1, 7)):
+        a, b = (rng.integers(0, kinds + 1, k).astype(np.uint32) for k in (n, m))
+        votes = audio.offset_votes(a, b)
+        assert {int(o) - (m - 1): int(v) for o, v in enumerate(votes) if v} == plain_votes(a, b)
+    assert audio.align(np.empty(0, np.uint32), np.ones(3, np.uint32)) == (0, 0, 1.0)
+
+
+def test_an_hour_of_one_tone():
+    """Equal integers at every place: in time and memory, not the square of the length."""
+    import resource
+
+    n = 3600 * audio.RATE // audio.HOP
+    steady = np.full(n, 0xDEADBEEF, np.uint32)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert audio.align(steady, steady) == (0, n, 0.0)
+    mixed = np.tile(np.array([1, 2, 3, 4], np.uint32), n // 4)
+    assert audio.align(mixed[2:], mixed)[1:] == (len(mixed) - 2, 0.0)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000
+    assert len(audio.filed_places(steady)) == 2
+
+
+def test_24_bit_wav():
+    import io
+    import wave
+
+    x = audio.tune(np.random.default_rng(6).normal(0, 0.13, 64), 3)
+    whole = np.round(np.clip(x, -1, 1) * (2**23 - 1)).astype("<i4")
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(2)
+        w.setsampwidth(3)
+        w.setframerate(audio.RATE)
+        w.writeframes(np.repeat(whole, 2).astype("<i4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes())
+    got, rate = audio.read_wav(out.getvalue())
+    assert rate == audio.RATE and np.allclose(got, np.clip(x, -1, 1), atol=1e-6)
+    assert audio.align(audio.fingerprint(got, audio.thresholds()), audio.fingerprint(x, audio.thresholds()))[2] < 0.05
+
+
+def test_a_shared_jingle_links_nothing(spark):
+    rng = np.random.default_rng(7)
+    jingle = audio.tune(rng.normal(0, 0.13, 40), 1)
+    rows = [(i, np.concatenate((jingle, audio.tune(rng.normal(0, 0.13, 160), 50 + i)))) for i in range(5)]
+    rows.append((9, np.concatenate((rows[2][1], rng.normal(0, 0.002, 3000)))))  # the third again
+    codes = dict(zip([i for i, _ in rows], prints([x for _, x in rows]), strict=True))
+    shared = [(i, j) for i in codes for j in codes if i < j and set(codes[i][codes[i] != 0].tolist()) & set(codes[j][codes[j] != 0].tolist())]
+    assert len(shared) >= 10  # the jingle's integers meet
+    df = spark.createDataFrame([(i, bytearray(audio.write_wav(x))) for i, x in rows], "rec long, wav binary")
+    assert {r.rec: r.class_id for r in audio.recordings(df, "rec", "wav").collect()} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 9: 2}

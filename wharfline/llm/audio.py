@@ -6,21 +6,26 @@ time; each filter's response is quantised to two bits by thresholds trained
 here, and the 32 bits of a place are packed into one integer.
 
 Recordings with equal fingerprints are one node. Every integer files its node
-and place; under those that several nodes share, the ``REACH`` places to either
-side are fetched and laid side by side. Two nodes are linked if the bit error
-there is ``MAX_ERROR`` at most, over ``MIN_OVERLAP`` places at least. Links form
-a spanning forest of each group rather than all its pairs; an integer that many
-nodes share is split into blocks, each pair of which is a unit of its own.
-Linked nodes are a class, and every recording is aligned with its class's least:
-a histogram of the offsets at which equal integers lie gives the offset, and the
-bit error there is told.
+and place, a run of one integer by its two ends; under integers that several
+nodes share, the ``REACH`` places to either side are fetched and laid side by
+side, which is all of a recording shorter than that. Two nodes are linked if the
+bit error there is ``MAX_ERROR`` at most, over ``MIN_OVERLAP`` places at least and
+over ``SHARE`` of the places that the one with fewer has there: a jingle that
+unlike recordings have in common links none of them. Links form a spanning
+forest of each group rather than all its pairs; an integer that many nodes share
+is split into blocks, each pair of which is a unit of its own. Linked nodes are a
+class, and every recording is aligned with its class's least: a histogram of the
+offsets at which equal integers lie gives the offset, and the bit error over the
+whole overlap there is told.
 
 Silent places have no integer, so silence links nothing.
 
 Defined results: null, empty or unreadable media have an empty fingerprint and
 are a class of their own; null ids are in no class unless a recording with an
-id has the same fingerprint; repeated rows each get their own result; an empty
-table gives no rows; other columns are ignored.
+id has the same fingerprint; long recordings are taken whole, and aligned in
+memory that grows with their length; of offsets with as many equal integers the
+least shift is told, the later on ties; repeated rows each get their own result;
+an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,7 +50,7 @@ RATE, FRAME, HOP = 4000, 2048, 256
 LOW, HIGH = 100.0, 1900.0
 SMOOTH = np.array([0.25, 0.75, 1.0, 0.75, 0.25])
 WIDTH = 24
-MAX_ERROR, MIN_OVERLAP, REACH = 0.15, 10, 12
+MAX_ERROR, MIN_OVERLAP, SHARE, REACH = 0.15, 10, 0.5, 256
 #: A frame is silent below this share of the recording's loudest.
 SILENT = 1e-4
 #: Nodes under one integer that one task compares.
@@ -70,9 +75,13 @@ def read_wav(data: bytes | None) -> tuple[np.ndarray, int] | None:
             raw, size, channels, rate = w.readframes(w.getnframes()), w.getsampwidth(), w.getnchannels(), w.getframerate()
     except (wave.Error, EOFError, struct.error, RuntimeError):
         return None
-    if size not in (1, 2, 4) or not rate:
+    if size not in (1, 2, 3, 4) or not rate:
         return None
     raw = raw[: len(raw) // (size * channels) * size * channels]
+    if size == 3:  # the upper bytes of four
+        four = np.zeros((len(raw) // 3, 4), np.uint8)
+        four[:, 1:] = np.frombuffer(raw, np.uint8).reshape(-1, 3)
+        raw, size = four.tobytes(), 4
     x = np.frombuffer(raw, {1: "u1", 2: "<i2", 4: "<i4"}[size]).astype(np.float64)
     x = (x - 128) / 128 if size == 1 else x / float(1 << (8 * size - 1))
     return x.reshape(-1, channels).mean(axis=1), rate
@@ -189,17 +198,44 @@ def bit_error(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[float, int]:
     return (float(np.bitwise_count(x ^ y)[both].sum()) / (32 * n) if n else 1.0), n
 
 
-def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, float]:
-    """(offset, equal integers there, bit error) by the histogram of offsets."""
+def offset_votes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many i have a[i + offset] == b[i] != 0, for offsets 1 - len(b) to len(a) - 1.
+
+    The pairs of a rare integer are listed, a few at once; those of one that both
+    have often are counted by a convolution. Memory grows with the lengths.
+    """
+    votes, size = np.zeros(len(a) + len(b) - 1, np.int64), len(a) + len(b) - 1
     order = np.argsort(b, kind="stable")
     lo, hi = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
-    at = np.flatnonzero((hi > lo) & (a != 0))
-    offs = np.concatenate([i - order[lo[i] : hi[i]] for i in at]) if at.size else np.empty(0, np.int64)
-    if not offs.size:
+    n = np.where(a != 0, hi - lo, 0)
+    pairs = np.zeros(len(a), np.int64)  # of each place's integer, over all places
+    _, of = np.unique(a, return_inverse=True)
+    pairs[:] = np.bincount(of, n)[of]
+    often = pairs > size * 32
+    for code in np.unique(a[often]):
+        width = 1 << (size - 1).bit_length()
+        both = np.fft.rfft(a == code, width) * np.fft.rfft((b == code)[::-1], width)
+        votes += np.rint(np.fft.irfft(both, width)[:size]).astype(np.int64)
+    at = np.flatnonzero((n > 0) & ~often)
+    ends = np.cumsum(n[at])
+    first = 0
+    while first < at.size:
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + (1 << 20), "right")))
+        k = at[first:last]
+        step = np.arange(n[k].sum()) - np.repeat(np.cumsum(n[k]) - n[k], n[k])
+        votes += np.bincount(np.repeat(k, n[k]) - order[np.repeat(lo[k], n[k]) + step] + len(b) - 1, minlength=size)
+        first = last
+    return votes
+
+
+def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, float]:
+    """(offset, equal integers there, bit error) by the histogram of offsets."""
+    votes = offset_votes(a, b) if len(a) and len(b) else np.zeros(0, np.int64)
+    if not votes.any():
         return 0, 0, 1.0
-    values, votes = np.unique(offs, return_counts=True)
-    best = max(zip(votes.tolist(), (-np.abs(values)).tolist(), values.tolist(), strict=True))
-    return best[2], best[0], bit_error(a, b, best[2])[0]
+    top = np.flatnonzero(votes == votes.max()) - (len(b) - 1)
+    best = int(max(top, key=lambda o: (-abs(o), o)))
+    return best, int(votes.max()), bit_error(a, b, best)[0]
 
 
 def fingerprints(media: DataFrame, media_id: str, column: str, decode: Callable = read_wav) -> DataFrame:
@@ -222,6 +258,14 @@ def fingerprints(media: DataFrame, media_id: str, column: str, decode: Callable
     return media.select(F.col(media_id).alias("id"), F.col(column).alias("v")).mapInArrow(run, schema)
 
 
+def filed_places(codes: np.ndarray) -> np.ndarray:
+    """The places of all integers, those of a run of one integer only at its ends."""
+    if not codes.size:
+        return np.empty(0, np.int64)
+    turn = codes[1:] != codes[:-1]
+    return np.flatnonzero((codes != 0) & (np.concatenate(([True], turn)) | np.concatenate((turn, [True]))))
+
+
 def _group_links(nodes: list, places: np.ndarray, codes: list[np.ndarray]) -> Iterator[tuple]:
     """A spanning forest of the links of nodes that meet at ``places``."""
     left = int(places.max())
@@ -229,7 +273,7 @@ def _group_links(nodes: list, places: np.ndarray, codes: list[np.ndarray]) -> It
     grid = np.zeros((len(nodes), wide), np.uint32)
     for i, (c, p) in enumerate(zip(codes, places, strict=True)):
         grid[i, left - p : left - p + len(c)] = c
-    rest = np.arange(len(nodes))
+    rest, heard = np.arange(len(nodes)), (grid != 0).sum(axis=1)
     while rest.size > 1:
         todo, rest = [rest[0]], rest[1:]
         while todo and rest.size:
@@ -237,7 +281,7 @@ def _group_links(nodes: list, places: np.ndarray, codes: list[np.ndarray]) -> It
             both = (grid[rest] != 0) & (grid[x] != 0)
             n = both.sum(axis=1)
             wrong = (np.bitwise_count(grid[rest] ^ grid[x]) * both).sum(axis=1)
-            near = (n >= MIN_OVERLAP) & (wrong <= MAX_ERROR * 32 * n)
+            near = (n >= MIN_OVERLAP) & (n >= SHARE * np.minimum(heard[x], heard[rest])) & (wrong <= MAX_ERROR * 32 * n)
             for y in rest[near]:
                 if nodes[x] != nodes[y]:
                     yield nodes[x], nodes[y]
@@ -254,9 +298,10 @@ def links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
             for at in range(0, whole.num_rows, 1024):
                 b = whole.slice(at, 1024)
                 codes = [np.frombuffer(c, "<u4") for c in b.column("codes").to_pylist()]
-                row = np.repeat(np.arange(len(codes)), [int((c != 0).sum()) for c in codes])
-                place = np.concatenate([np.flatnonzero(c) for c in codes]) if codes else np.empty(0, np.int64)
-                code = np.concatenate([c[c != 0] for c in codes]) if codes else np.empty(0, np.uint32)
+                places = [filed_places(c) for c in codes]
+                row = np.repeat(np.arange(len(codes)), [len(p) for p in places])
+                place = np.concatenate(places) if codes else np.empty(0, np.int64)
+                code = np.concatenate([c[p] for c, p in zip(codes, places, strict=True)]) if codes else np.empty(0, np.uint32)
                 yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), b.column("node").take(pa.array(row)), pa.array(place.astype(np.int32))], names=["code", "node", "place"])
 
     filed = nodes.where(F.length("codes") > 0).mapInArrow(spread, T.StructType([T.StructField("code", T.LongType()), T.StructField("node", kind), T.StructField("place", T.IntegerType())]))
