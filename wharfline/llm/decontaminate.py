@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wharfline.llm.names import map_carrying, quoted, unused
 from wharfline.session import materialise, ship
 
 WINDOW = 10
@@ -194,38 +195,38 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) ->
         yield [(r[0], None if r[1] is None else bytes(r[1])) for r in part.collect()]
 
 
-def _pass(docs: DataFrame, text: str, tests: TestSet | None, drop_text: bool) -> DataFrame:
-    """Adds what one block of items hits to the columns of the passes before."""
+def _pass(docs: DataFrame, text: str, tests: TestSet | None, drop_text: bool, added: list[str]) -> DataFrame:
+    """Adds what one block of items hits to the columns of the passes before, called as ``added``."""
     shared = ship(docs.sparkSession, tests)  # a block of bounded size
-    kept = [c for c in docs.columns if c not in ("__words", "__spans", "__items", *([text] if drop_text else []))]
-    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("__words", T.LongType()), T.StructField("__spans", SPAN), T.StructField("__items", T.ArrayType(T.StringType()))])
-    later = "__words" in docs.columns
+    kept = [c for c in docs.columns if c not in (*added, *([text] if drop_text else []))]
+    fields = [T.StructField(added[0], T.LongType()), T.StructField(added[1], SPAN), T.StructField(added[2], T.ArrayType(T.StringType()))]
+    later = added[0] in docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tests = pickle.loads(shared.value)
         vocabulary = tests.vocabulary if tests else {}
         for whole in batches:
-            every = whole.column(text).cast(pa.binary()).to_pylist()
+            every = whole.column("i0").cast(pa.binary()).to_pylist()
             for part in _shards(every, SHARD_BYTES):
                 b = whole.slice(part.start, len(part))
                 seq, begin = _index_shard(every[part.start : part.stop], vocabulary)
                 spans: list[list[tuple[int, int]]] = [[] for _ in part]
                 items: list[set[str]] = [set() for _ in part]
                 if later:
-                    spans = [[(s["start"], s["end"]) for s in x] for x in b.column("__spans").to_pylist()]
-                    items = [set(x) for x in b.column("__items").to_pylist()]
+                    spans = [[(s["start"], s["end"]) for s in x] for x in b.column("i1").to_pylist()]
+                    items = [set(x) for x in b.column("i2").to_pylist()]
                 for item, at, length in search(seq, tests)[2] if tests else ():
                     for d, p in zip((np.searchsorted(begin, at, "right") - 1).tolist(), at.tolist(), strict=True):
                         spans[d].append((p - begin[d], p - begin[d] + length))
                         if tests.ids[item] is not None:
                             items[d].add(tests.ids[item])
-                out = [b.column(c) for c in kept]
+                out = [b.column(k) for k in range(len(kept))]
                 out.append(pa.array(np.diff(begin) - 1, pa.int64()))
                 out.append(pa.array([[{"start": a, "end": z} for a, z in _merged(x)] for x in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))))
                 out.append(pa.array([sorted(x) for x in items], pa.list_(pa.string())))
-                yield pa.RecordBatch.from_arrays(out, names=[*kept, "__words", "__spans", "__items"])
+                yield pa.RecordBatch.from_arrays(out, names=[*(f"c{k}" for k in range(len(kept))), "a0", "a1", "a2"])
 
-    return docs.mapInArrow(run, schema)
+    return map_carrying(docs, kept, [F.col(quoted(c)) for c in (text, *(added[1:] if later else []))], run, fields)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep_text: bool = False) -> DataFrame:
@@ -233,20 +234,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
 
     Adds ``n_words``, ``n_hit`` (words inside an occurrence of a window),
     ``hit_spans`` (those words as merged word ranges) and ``hit_items`` (ids of
-    the items with occurring windows, sorted as strings).
+    the items with occurring windows, sorted as strings), each with a ``_`` behind
+    its name for as long as ``docs`` has a column of that name.
     """
-    out = docs.withColumn(text, F.col(text).cast("string"))
+    n_words, n_hit, hit_spans, hit_items = names = unused(docs.columns, "n_words", "n_hit", "hit_spans", "hit_items")
+    own = [n_words, hit_spans, hit_items]
+    out = docs.select(*[F.col(quoted(c)).cast("string").alias(c) if c == text else F.col(quoted(c)) for c in docs.columns])
     blocks = _blocks(benchmark, item_id, item_text, block_bytes)
     held, n = next(blocks), 0
     while held is not None:
         ahead = next(blocks, None)
-        out = _pass(out, text, test_set(held, window), ahead is None and not keep_text)
+        out = _pass(out, text, test_set(held, window), ahead is None and not keep_text, own)
         n += 1
         if ahead is not None and n % 4 == 0:
             out = materialise(out, "decontaminate")
         held = ahead
-    hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
-    return out.withColumns({"n_words": F.col("__words"), "n_hit": hit, "hit_spans": F.col("__spans"), "hit_items": F.col("__items")}).drop("__words", "__spans", "__items")
+    hit = F.aggregate(hit_spans, F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
+    kept = [F.col(quoted(c)) for c in out.columns if c not in own]
+    return out.select(*kept, *[hit.alias(c) if c == n_hit else F.col(c) for c in names])
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -290,4 +295,5 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **how) -> DataFrame:
     """``docs`` without the documents that a benchmark window occurs in."""
     marked = contamination(docs, benchmark, text=text, keep_text=True, **how)
-    return marked.where("n_hit = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    n_hit = unused(docs.columns, "n_hit")[0]
+    return marked.where(F.col(n_hit) == 0).select(*[F.col(quoted(c)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])

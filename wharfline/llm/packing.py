@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from wharfline.llm.names import map_carrying, quoted
 from wharfline.session import materialise, ship
 
 CAPACITIES = (2048, 4096, 8192)
@@ -189,7 +190,8 @@ def with_token_counts(docs: DataFrame, ranks: dict[bytes, int], pattern: str, te
     """``docs`` and the number of tokens of each whole text, for ``pack(..., length=name)``.
 
     ``ranks`` and ``pattern`` are a vocabulary's, read by the caller; they are of
-    fixed size and go out with the tasks. A null text has none.
+    fixed size and go out with the tasks. A null text has none. The caller names
+    the column, and one of that name is replaced.
     """
     shared = ship(docs.sparkSession, (pattern, ranks))
     kept = [c for c in docs.columns if c != name]
@@ -200,8 +202,7 @@ def with_token_counts(docs: DataFrame, ranks: dict[bytes, int], pattern: str, te
         split, table = pickle.loads(shared.value)
         coder = tiktoken.Encoding("given", pat_str=split, mergeable_ranks=table, special_tokens={})
         for b in batches:
-            counts = [len(coder.encode_ordinary(t)) if t else 0 for t in b.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(counts, pa.int64())], names=[*kept, name])
+            counts = [len(coder.encode_ordinary(t)) if t else 0 for t in b.column("i0").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(counts, pa.int64())], names=[*b.schema.names[:-1], "a0"])
 
-    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(name, T.LongType())])
-    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
+    return map_carrying(docs, kept, [F.col(quoted(text)).cast("string")], run, [T.StructField(name, T.LongType())])

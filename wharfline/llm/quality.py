@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wharfline.llm.names import map_carrying, quoted, unused
 from wharfline.session import ship
 
 WORDS, SHAPES, DIM, NONZERO, REACH = 1 << 13, 1 << 10, 64, 2, 2
@@ -271,8 +272,10 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     vectors = word_vectors(context_vectors(docs, text))
     given = labels.select(F.col(doc_id).alias("i"), F.col(label).cast("int").alias("y")).dropna().where(~_held_out(F.col("i")))
     given = given.groupBy("i").agg((F.avg("y") >= 0.5).cast("int").alias("y")).orderBy(F.xxhash64("i"), "i").limit(train_rows)
-    known = docs.select(F.col(doc_id).alias("i"), F.col(text).cast("string").alias("t"))
+    known = docs.select(F.col(quoted(doc_id)).alias("i"), F.col(quoted(text)).cast("string").alias("t"))
     known = known.join(F.broadcast(given), "i")  # at most train_rows rows of two numbers
+    # rows that share a labelled id may be many: as many of them are drawn, by hash
+    known = known.orderBy(F.xxhash64("i", "t"), "i", "t").limit(train_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _Ids()
@@ -289,18 +292,19 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 
 def scored(docs: DataFrame, model: Classifier, text: str = "text", keep_text: bool = False, name: str = "score") -> DataFrame:
-    """``docs`` (without its text unless ``keep_text``) and each document's score."""
+    """``docs`` (without its text unless ``keep_text``) and each document's score, as a new column."""
+    if unused(docs.columns, name)[0] != name:
+        raise ValueError(f"a column is called {name} already")
     shared = ship(docs.sparkSession, model)  # a fixed number of buckets
     kept = [c for c in docs.columns if keep_text or c != text]
-    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, ids = pickle.loads(shared.value), _Ids()
         for b in batches:
             texts = b.column(b.num_columns - 1).cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(model.score(texts, ids), pa.float64())], names=[*kept, name])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(model.score(texts, ids), pa.float64())], names=[*b.schema.names[:-1], "a0"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(run, schema)
+    return map_carrying(docs, kept, [F.col(quoted(text)).cast("string")], run, [T.StructField(name, T.DoubleType())])
 
 
 def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -313,4 +317,5 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """``docs`` without the documents that the classifier rejects."""
     model = train(docs, labels, doc_id, text, train_rows=train_rows)
-    return scored(docs, model, text, keep_text=True, name="__score").where(F.col("__score") >= threshold).drop("__score")
+    score = unused(docs.columns, "__score")[0]
+    return scored(docs, model, text, keep_text=True, name=score).where(F.col(score) >= threshold).drop(score)

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wharfline.llm.names import map_carrying, quoted, unused
 from wharfline.plans.components import connected_components
 from wharfline.session import materialise
 
@@ -75,14 +76,15 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, name: str = "fingerprint") -> DataFrame:
     """``docs`` without its text, and with the fingerprint as a signed long."""
     kept = [c for c in docs.columns if c != text]
-    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(name, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = np.fromiter((fingerprint(x, shingle) for x in b.column(b.num_columns - 1).cast(pa.binary()).to_pylist()), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found.view(np.int64))], names=[*kept, name])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found.view(np.int64))], names=[*b.schema.names[:-1], "a0"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(run, schema)
+    if unused(kept, name)[0] != name:
+        raise ValueError(f"a column is called {name} already")
+    return map_carrying(docs, kept, [F.col(quoted(text)).cast("string")], run, [T.StructField(name, T.LongType())])
 
 
 def segments(max_distance: int) -> list[tuple[int, int, int]]:
@@ -204,7 +206,7 @@ def hexadecimal(c: str) -> F.col:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """One row per document: its id, fingerprint in hex, and component."""
-    prints = materialise(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", shingle), "simhash-prints")
+    prints = materialise(fingerprints(docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(text)).alias("text")), "text", shingle), "simhash-prints")
     return components(prints, "doc_id", "fingerprint", max_distance).select("doc_id", hexadecimal("fingerprint").alias("fingerprint"), "component_id")
 
 
@@ -214,7 +216,8 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     Of rows that agree in id and text one stays; of unlike texts with that same
     id the one whose text hashes lowest stays. All columns are kept.
     """
-    keyed = docs.select(F.col(doc_id).alias("__id"), F.xxhash64(F.col(text)).alias("__hash"), F.col(text).alias("__text"))
+    i, t = F.col(quoted(doc_id)), F.col(quoted(text))
+    keyed = docs.select(i.alias("__id"), F.xxhash64(t).alias("__hash"), t.alias("__text"))
     prints = materialise(fingerprints(keyed, "__text", shingle), "simhash-prints")
     return keep_least(docs, prints, components(prints, "__id", "fingerprint", max_distance), doc_id, text)
 
@@ -226,10 +229,11 @@ def keep_least(docs: DataFrame, prints: DataFrame, grouped: DataFrame, doc_id: s
     rows = prints.groupBy("__id", "__hash").count()
     kept = best.join(rows, best.id.eqNullSafe(rows["__id"]) & (best.hash == rows["__hash"])).select("id", "hash", (F.col("count") > 1).alias("again"))
     kept = materialise(kept, "simhash-kept")
-    tagged = docs.withColumn("__hash", F.xxhash64(F.col(text)))
-    met = lambda k: tagged[doc_id].eqNullSafe(k.id) & (tagged["__hash"] == k.hash)
-    single, many = kept.where("not again"), kept.where("again")
+    own, kept_id, kept_hash = unused(docs.columns, "__hash", "__kept_id", "__kept_hash")
+    tagged = docs.withColumn(own, F.xxhash64(F.col(quoted(text))))
+    met = lambda k: F.col(quoted(doc_id)).eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_hash))
+    single, many = (kept.where(c).select(F.col("id").alias(kept_id), F.col("hash").alias(kept_hash)) for c in ("not again", "again"))
     once = tagged.join(single, met(single), "left_semi")
     if many.isEmpty():
-        return once.drop("__hash")
-    return once.union(tagged.join(many, met(many), "left_semi").dropDuplicates([doc_id, "__hash"])).drop("__hash")
+        return once.drop(own)
+    return once.union(tagged.join(many, met(many), "left_semi").dropDuplicates([doc_id, own])).drop(own)
