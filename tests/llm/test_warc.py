@@ -44,6 +44,27 @@ def plain(rows):
     return sorted(out, key=str)
 
 
+def places(rows):
+    """Places in histories, from rows in their order."""
+    met = {}
+    return [met.setdefault(r.url_key, []).append(1) or len(met[r.url_key]) for r in rows]
+
+
+def test_natural_runs_are_never_sorted_again():
+    rows = [("u", k, None, "", 0, "", None, a, k, 0) for a, k in (("x", 1), ("x", 5), ("y", 2), ("x", 5), ("x", 3), ("y", 4), ("x", 9))]
+    runs = warc.natural_runs(rows, lambda r: r[1])
+    assert [[(r[7], r[1]) for r in x] for x in runs] == [[("x", 1), ("x", 5), ("x", 5)], [("y", 2), ("y", 4)], [("x", 3), ("x", 9)]]
+
+
+def test_a_range_has_few_runs(spark):
+    """What comes through the exchange is sorted already: a run for each archive, not more."""
+    rows = [(i, f"http://h.example/{i * 7919 % 997}", f"p{i}") for i in range(900)]
+    runs = warc.capture_runs(warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), archive_bytes=600))
+    ranged = runs.repartitionByRange(4, "url_key", "seconds").rdd.glom().collect()
+    for part in ranged:
+        assert len(warc.natural_runs(map(tuple, part))) == len({r.archive for r in part})
+
+
 def test_histories_against_brute_force(spark):
     rng = random.Random(1)
     pool = ["", "a", "é" * 9, "<p>same</p>" * 500, None]
@@ -54,6 +75,7 @@ def test_histories_against_brute_force(spark):
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == plain(rows)
     order = [(r.url_key, r.seconds, r.page_id is None, r.page_id or 0) for r in got]
     assert order == sorted(order)
+    assert [r.place for r in got] == places(got)
     assert warc.histories(df.where("false")).count() == 0
 
 
@@ -66,3 +88,5 @@ def test_merge_over_many_ranges(spark):
     assert got.rdd.getNumPartitions() > 3
     order = [(r.url_key, r.seconds, int(r.page_id)) for r in got.collect()]
     assert len(order) == 900 and order == sorted(order)
+    whole = sorted(warc.in_history(got).collect(), key=lambda r: (r.url_key, r.seconds))
+    assert len(whole) == 900 and [r.place for r in whole] == places(whole) and max(r.place for r in whole) >= 300

@@ -274,8 +274,6 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     given = given.groupBy("i").agg((F.avg("y") >= 0.5).cast("int").alias("y")).orderBy(F.xxhash64("i"), "i").limit(train_rows)
     known = docs.select(F.col(quoted(doc_id)).alias("i"), F.col(quoted(text)).cast("string").alias("t"))
     known = known.join(F.broadcast(given), "i")  # at most train_rows rows of two numbers
-    # rows that share a labelled id may be many: as many of them are drawn, by hash
-    known = known.orderBy(F.xxhash64("i", "t"), "i", "t").limit(train_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _Ids()
@@ -285,7 +283,9 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                 x = np.column_stack(pooled(part.column("t").cast(pa.binary()).to_pylist(), vectors, ids)).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([part.column("i"), part.column("y"), pa.array([r.tobytes() for r in x], pa.binary())], names=["i", "y", "x"])
 
-    got = known.mapInArrow(run, T.StructType([known.schema["i"], known.schema["y"], T.StructField("x", T.BinaryType())])).toArrow()
+    got = known.mapInArrow(run, T.StructType([known.schema["i"], known.schema["y"], T.StructField("x", T.BinaryType())]))
+    # rows that share a labelled id may be many: at most train_rows vectors are drawn, by hash
+    got = got.orderBy(F.xxhash64("i", "x"), "i", "x").limit(train_rows).toArrow()
     rows = sorted(zip(got.column("i").to_pylist(), got.column("y").to_pylist(), got.column("x").to_pylist(), strict=True), key=lambda r: (str(r[0]), r[2]))
     x = np.frombuffer(b"".join(r[2] for r in rows), np.float32).reshape(-1, 2 * DIM + 1)
     return Classifier.of(vectors, fit(x[:, :-1], x[:, -1].astype(np.float64), np.array([r[1] for r in rows], np.float64)))

@@ -53,7 +53,7 @@ def op8_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.histories(table(spark, sf_dir, "pages"))
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "seconds", F.col("place").alias("history_place"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,14 +137,15 @@ ORACLE_SQL = {
         FROM documents d LEFT JOIN known w ON d.doc_id IS NOT DISTINCT FROM w.doc_id AND d.text = w.text LEFT JOIN kept USING (r)
         LEFT JOIN (SELECT r, count(*) AS n FROM u GROUP BY r) n USING (r) LEFT JOIN (SELECT r, count(*) AS n FROM gone GROUP BY r) x USING (r)""",
     "op4_secret_scan": _secret_sql(),
-    "op9_warc": """
-        WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
-        s AS (SELECT page_id, strlen(t) AS payload_bytes, sha1(t) AS h FROM p),
+    "op9_warc": r"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS t, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]*)?([^#]*)', ['host', 'path']) AS u, coalesce(url, '') AS url FROM pages),
+        k AS (SELECT *, CASE WHEN regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN array_to_string(list_reverse(string_split(regexp_replace(lower(u.host), '^www[0-9]*\.', ''), '.')), ',') || ')' || coalesce(nullif(lower(u.path), ''), '/') ELSE lower(url) END AS url_key FROM p),
+        s AS (SELECT page_id, strlen(t) AS payload_bytes, sha1(t) AS h, url_key, 1700000000 + page_id AS seconds, row_number() OVER (PARTITION BY url_key ORDER BY page_id) AS history_place FROM k),
         f AS (SELECT h, min(page_id) AS first FROM s GROUP BY h)
         SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
                array_to_string(list_transform(generate_series(0, 31), lambda j:
                    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, j // 4 * 5 + 1, 5) AS BIGINT) >> (15 - j % 4 * 5)) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
                CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
-               CASE WHEN page_id <> first THEN first END AS refers_to
+               CASE WHEN page_id <> first THEN first END AS refers_to, url_key, CAST(seconds AS BIGINT) AS seconds, history_place
         FROM s JOIN f USING (h)""",
 }

@@ -9,12 +9,18 @@ what Spark writes, archives are rows of a table in the shared folder.
 
 Reading an archive back gives its captures, which are sorted locally by URL key
 and time: a run. Runs are dealt out by ranges of the same key, split by id also,
-so that a URL with a third of all captures spans many ranges. In every range
-the parts of all runs are merged k ways by a loser tree.
+so that a URL with a third of all captures spans many ranges. The exchange keeps
+the order of what it moves from one task to another, so a range gets sorted parts
+of all runs; nothing is sorted again, the parts are merged k ways by a loser tree.
+A capture's place in the history of its URL follows from the merged order: places
+are counted within a range, and the few URLs that go on from one range into the
+next have the counts of the ranges before added.
 
 Defined results: null html is an empty payload, and empty payloads are equal;
 null ids come after all others, and a null id is referred to as null; of equal
-ids with unlike URLs the least URL is the response; rows that agree in id, URL
+ids with unlike URLs the least URL is the response, and captures of one URL and
+time are in the order of their ids, then of their archives; long payloads are
+taken whole; rows that agree in id, URL
 and html are the same capture and get the same record type; a null URL has the
 empty key; without a time column a capture's time is ``EPOCH`` plus its id in
 seconds, ``EPOCH`` if that isn't a number of a fitting size; an empty table
@@ -31,9 +37,11 @@ from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from wharfline.session import materialise
 
@@ -231,38 +239,63 @@ def capture_runs(archives: DataFrame) -> DataFrame:
     return materialise(archives.mapInArrow(run, _CAPTURE), "captures")
 
 
+def natural_runs(rows: Iterable[tuple], key=_key) -> list[list[tuple]]:
+    """The rows as sorted runs: one goes on for as long as an archive's keys rise."""
+    done: list[list[tuple]] = []
+    open_: dict[str, list[tuple]] = {}
+    for row in rows:
+        run = open_.get(row[7])
+        if run is None or key(row) < key(run[-1]):
+            open_[row[7]] = run = []
+            done.append(run)
+        run.append(row)
+    return done
+
+
 def merge_runs(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """All captures in global order of URL key, time and id, by loser trees.
 
-    Rows of partition i come before those of partition i + 1, and are in order
-    in it.
+    Adds ``part``, the number of the range, and ``place``, the capture's place in
+    its URL's history within the range. Rows of partition i come before those of
+    partition i + 1, and are in order in it.
     """
     n = max(1, -(-runs.count() // range_rows))
     order = ["url_key", "seconds", F.col("page_id").isNull(), F.length("page_id"), "page_id"]
     ranged = runs.repartitionByRange(n, *order) if n > 1 else runs.coalesce(1)
-    names, kinds = runs.columns, [pa.int64() if f.dataType == T.LongType() else pa.string() for f in runs.schema]
+    names, kinds = [*runs.columns, "part", "place"], [*(pa.int64() if f.dataType == T.LongType() else pa.string() for f in runs.schema), pa.int32(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[str, list[tuple]] = {}
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                parts.setdefault(row[7], []).append(row)
-        for part in parts.values():  # a shuffle may hand over a run's stretches out of order
-            part.sort(key=_key)
+        part = TaskContext.get().partitionId()
+        parts = natural_runs(row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
         held: list[tuple] = []
-        for row in LoserTree([iter(parts[k]) for k in sorted(parts)], _key):
-            held.append(row)
+        url, place = None, 0
+        for row in LoserTree([iter(p) for p in parts], _key):
+            url, place = row[0], place + 1 if row[0] == url else 1
+            held.append((*row, part, place))
             if len(held) == 4096:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
                 held = []
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
 
-    return ranged.mapInArrow(run, runs.schema)
+    return ranged.mapInArrow(run, T.StructType([*runs.schema, T.StructField("part", T.IntegerType()), T.StructField("place", T.LongType())]))
+
+
+def in_history(merged: DataFrame) -> DataFrame:
+    """``merged``, written once, with ``place`` counted over all ranges."""
+    merged = materialise(merged, "merged")
+    # a range's first and last URL may go on beyond it: two rows for each range at most
+    ends = merged.groupBy("part").agg(F.min("url_key").alias("first"), F.max("url_key").alias("last"))
+    ends = ends.select("part", F.explode(F.array_distinct(F.array("first", "last"))).alias("url_key"))
+    counts = merged.join(F.broadcast(ends), ["part", "url_key"]).groupBy("part", "url_key").agg(F.max("place").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("url_key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    moved = F.broadcast(counts.select("part", "url_key", before.alias("before")).where("before > 0"))
+    joined = merged.join(moved, ["part", "url_key"], "left").withColumn("place", F.col("place") + F.coalesce("before", F.lit(0)))
+    return joined.select(*[c for c in merged.columns if c != "part"])
 
 
 def histories(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html", time: str | None = None) -> DataFrame:
     """Writes archives of all pages, reads them back, and merges their index."""
     kind = pages.schema[page_id].dataType
-    merged = merge_runs(capture_runs(write_archives(pages, page_id, url, page, time)))
+    merged = in_history(merge_runs(capture_runs(write_archives(pages, page_id, url, page, time))))
     return merged.withColumns({"page_id": F.col("page_id").cast(kind), "refers_to": F.col("refers_to").cast(kind)})
