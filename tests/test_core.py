@@ -4,6 +4,7 @@ import math
 import socket
 import struct
 import threading
+import time
 
 import numpy as np
 import pandas as pd
@@ -340,3 +341,113 @@ def test_generators_are_functions_of_the_seed(spark):
     reads = generators.skewed_reads(spark, 4000, 20, 50).groupBy("country").count().toPandas()
     assert reads["count"].max() > 5 * reads["count"].median()
     assert pd.Series([r.value for r in generators.web_log(spark, 30).collect()]).str.match(r'^[0-9.]+ - - \[.*\] "(GET|POST|PUT) /(album|search)\?.* HTTP/1\.1" ').all()
+
+
+def _split_events(spark, n=400):
+    """Coded events of 25 keys, in the order of their time."""
+    return spark.range(n).select((F.col("id") % 25).alias("user_id"), F.timestamp_seconds(F.lit(1000) + F.col("id")).alias("ts"), F.col("id").alias("event_id"), F.get(F.array(*map(F.lit, (1, 2, 5, 7, 3, 4, 7, 6))), F.pmod(F.floor(F.col("id") / 25) + F.col("id") % 3, F.lit(8)).cast("int")).alias("code"))
+
+
+def test_keyed_state_goes_on_after_a_restart(spark, tmp_path):
+    """A machine that is half way through a path when the query stops ends it in the next run."""
+    events, got = _split_events(spark), []
+    source, checkpoint = str(tmp_path / "in"), str(tmp_path / "c")
+    for k in range(4):  # each run is a new query that finds one more file
+        events.where(f"event_id div 100 = {k}").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(events.schema).parquet(source)
+        alerts = machine.alerts_stream(stream).writeStream.foreachBatch(lambda b, i: got.extend(map(tuple, b.collect())))
+        alerts.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(got) == sorted(map(tuple, machine.alerts_batch(events).collect())) and len(got) > 50
+    alone = [tuple(r) for k in range(4) for r in machine.alerts_batch(events.where(f"event_id div 100 = {k}")).collect()]
+    assert sorted(alone) != sorted(got)  # without the state it would be others
+
+
+def test_a_failed_batch_is_replayed_once(spark, tmp_path):
+    """A batch that fails after its rows are out is run again under its number, and nothing is told twice."""
+    events, tried = _split_events(spark), []
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for k in range(4):
+        events.where(f"event_id div 100 = {k}").coalesce(1).write.mode("append").parquet(source)
+
+    def told(batch, number):
+        batch.write.mode("overwrite").parquet(f"{out}/{number}")
+        tried.append(number)
+        if tried.count(2) == 1 and number == 2:
+            raise RuntimeError("lost on purpose")
+
+    def go():
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        machine.alerts_stream(stream).writeStream.foreachBatch(told).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+
+    with pytest.raises(Exception, match="lost on purpose"):
+        go()
+    go()
+    assert tried == [0, 1, 2, 2, 3]
+    got = [tuple(r) for n in range(4) for r in spark.read.parquet(f"{out}/{n}").collect()]
+    assert sorted(got) == sorted(map(tuple, machine.alerts_batch(events).collect()))
+
+
+def test_frame_socket_sink(spark, tmp_path):
+    server, parts = socket.create_server(("127.0.0.1", 0)), []
+
+    def listen():
+        while True:
+            try:
+                link, _ = server.accept()
+            except OSError:
+                return
+            with link:
+                parts.append(b"".join(iter(lambda: link.recv(4096), b"")))
+
+    thread = threading.Thread(target=listen, daemon=True)
+    thread.start()
+    spark.range(500).repartition(3).select(F.col("id").cast("int").alias("source"), (-F.col("id")).cast("int").alias("event")).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("source int, event int").parquet(str(tmp_path / "in"))
+    sources.to_frame_socket(stream, str(tmp_path / "c"), port=server.getsockname()[1]).awaitTermination()
+    time.sleep(0.5)
+    server.close()
+    frames = np.concatenate([np.frombuffer(p, "<i4").reshape(-1, 2) for p in parts])
+    assert sorted(map(tuple, frames.tolist())) == [(i, -i) for i in range(500)]
+
+
+def test_event_values_through_a_stream(spark, tmp_path):
+    """What would go to a topic, through files in its place, and decoded again."""
+    spark.range(50).select(F.col("id").cast("int").alias("source"), (F.col("id") * -7).cast("int").alias("event")).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("source int, event int").parquet(str(tmp_path / "in"))
+    sources.event_values(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.schema["value"].dataType.simpleString() == "binary" and got.where("length(value) = 8").count() == 50
+    back = got.select(scalar.decode_event(F.col("value")).alias("d")).select("d.source", "d.event")
+    assert sorted(map(tuple, back.collect())) == [(i, -7 * i) for i in range(50)]
+
+
+def test_generators_at_their_limits(spark):
+    whole = generators.random_graph(spark, 100, 4950, True).toPandas()
+    assert len(whole.drop_duplicates()) == 4950 and (whole.src < whole.dst).all() and whole.dst.max() == 99
+    both = generators.random_graph(spark, 40, 1560).toPandas()
+    assert len(both.drop_duplicates()) == 1560 and (both.src != both.dst).all() and both.max().max() == 39
+    with pytest.raises(ValueError):
+        generators.random_graph(spark, 100, 4951, True)
+    ranks = spark.range(40000).select(generators.zipf_rank(generators.uniform(F.col("id"), 3), 200).alias("r")).groupBy("r").count().toPandas().set_index("r")["count"] / 40000
+    total = sum(k**-1.5 for k in range(1, 201))
+    assert all(abs(ranks[k] - k**-1.5 / total) < 0.01 for k in range(1, 20)) and ranks.index.max() <= 200
+
+
+def test_climb_ends_between_neighbouring_numbers(spark):
+    from wharfline.plans.relational import climb
+
+    prices = [1.0, math.nextafter(1.0, 2), 0.5]
+    assert climb(spark.createDataFrame([(p,) for p in prices], "price double")).collect()[0][0] == prices[1]
+    assert climb(spark.createDataFrame([], "price double")).count() == 0
+
+
+def test_components_tell_when_rounds_run_out(spark):
+    chain = spark.range(64).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    with pytest.raises(RuntimeError):
+        connected_components(chain, max_rounds=1)
+
+
+def test_a_row_of_zeros_has_its_dual_at_the_bound(spark):
+    df = spark.createDataFrame([(0, [0.0, 0.0], 1.0), (1, [1.0, 0.0], 1.0), (2, [0.0, 1.0], -1.0)], "index long, x array<double>, y double")
+    state, _ = learning.cocoa(df, blocks=1, rounds=6, passes=4)
+    assert state.where("index = 0").first().alpha == 1.0

@@ -27,7 +27,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
     The component is its least node. The number of edges never grows, no
     neighbour list is gathered in one place, and each round ends in a reliable
-    checkpoint. Loops and repeated edges are allowed; edges with a null end are
+    checkpoint; if ``max_rounds`` don't settle them, that is an error. Loops and repeated edges are allowed; edges with a null end are
     ignored; a node whose only edge is a loop is its own component.
     """
     given = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).dropna()
@@ -39,7 +39,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if tuple(row) == seen or row[0] == 0:
             break
         seen = tuple(row)
-        state = cut(_small_star(cut(_large_star(state).distinct())).distinct())
+        state = cut(_small_star(materialise(_large_star(state).distinct(), "large-star")).distinct())
+    else:
+        raise RuntimeError(f"components haven't settled after {max_rounds} rounds")
     out = state.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = state.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     alone = loops.join(out.select("node").union(roots.select("node")), loops.u == F.col("node"), "left_anti")

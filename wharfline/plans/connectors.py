@@ -188,59 +188,116 @@ def words_to_csv(spark, sf_dir):
     return formats.read_delimited(spark, at, "word string, n int", " ")
 
 
-@R.query()
+# Generators draw by hash, which SQL can't repeat; each query tells properties of all rows that SQL states.
+
+
+@R.query("SELECT c AS cluster, CAST(250 AS BIGINT) AS n, true AS three_wide, true AS gathered FROM range(8) AS t(c)")
 def generated_points(spark, sf_dir):
-    return generators.kmeans_points(spark, 2000, 3, 8)
+    """Points of 8 clusters: as many each, and all within six spreads of their mean."""
+    points = generators.kmeans_points(spark, 2000, 3, 8).select("cluster", F.size("point").alias("dims"), F.posexplode("point").alias("j", "x"))
+    own = points.groupBy("cluster", "j").agg(F.count("*").alias("n"), F.min("dims").alias("dims"), F.avg("x").alias("mean"), F.min("x").alias("low"), F.max("x").alias("high"))
+    near = (F.col("high") - F.col("mean") < 48) & (F.col("mean") - F.col("low") < 48) & (F.abs("mean") < 52)
+    return own.groupBy("cluster").agg(F.max("n").alias("n"), (F.min("dims") == 3).alias("three_wide"), F.every(near).alias("gathered"))
 
 
-@R.query()
+@R.query("SELECT c AS cluster, CAST(250 AS BIGINT) AS n, true AS in_box FROM range(8) AS t(c)")
 def generated_corner_points(spark, sf_dir):
-    return generators.corner_points(spark, 2000, 3, 8)
+    """Points in boxes around the corners whose bits are the cluster's."""
+    points = generators.corner_points(spark, 2000, 3, 8)
+    inside = F.forall("point", lambda x: (F.abs(x) <= 20) | (F.abs(x - 100) <= 20))
+    corner = F.aggregate(F.transform("point", lambda x, j: F.when(x > 50, F.pow(F.lit(2), j)).otherwise(0).cast("long")), F.lit(0).cast("long"), lambda s, v: s + v)
+    return points.groupBy("cluster").agg(F.count("*").alias("n"), F.every(inside & (corner == F.col("cluster"))).alias("in_box"))
 
 
-@R.query()
+@R.query("SELECT * FROM (VALUES ('up', CAST(2000 AS BIGINT), CAST(2000 AS BIGINT), true), ('any', 2000, 2000, true), ('whole', 4950, 4950, true)) AS t(kind, n, unlike, fits)")
 def generated_graph(spark, sf_dir):
-    return generators.random_graph(spark, 500, 2000, True)
+    """Edges without loops or repeats, in the asked number, up to the whole graph."""
+    told = []
+    for kind, v, e, up in (("up", 500, 2000, True), ("any", 500, 2000, False), ("whole", 100, 4950, True)):
+        fits = (F.col("src") != F.col("dst")) & F.col("src").between(0, v - 1) & F.col("dst").between(0, v - 1) & (F.col("src") < F.col("dst") if up else F.lit(True))
+        g = generators.random_graph(spark, v, e, up)
+        told.append(g.agg(F.count("*").alias("n"), F.count_distinct("src", "dst").alias("unlike"), F.every(fits).alias("fits")).select(F.lit(kind).alias("kind"), "n", "unlike", "fits"))
+    return told[0].union(told[1]).union(told[2])
 
 
-@R.query()
+@R.query("SELECT CAST(1000 AS BIGINT) AS n, CAST(1000 AS BIGINT) AS well_formed, true AS both_kinds")
 def generated_log(spark, sf_dir):
-    return generators.web_log(spark, 1000)
+    """Log lines of albums and searches."""
+    form = r'\A[0-9]{1,3}(\.[0-9]{1,3}){3} - - \[[0-9]{2}/[A-Za-z]{3}/[0-9]{4}(:[0-9]{2}){3}\] "(GET|POST|PUT) /(album\?picture=[0-9]+|search\?q=[a-z]+) HTTP/1\.1" [a-z]+/[0-9.]+( \([a-z]+\))?\z'
+    log = generators.web_log(spark, 1000)
+    album = F.col("value").contains("/album")
+    return log.agg(F.count("*").alias("n"), F.count_if(F.col("value").rlike(form)).alias("well_formed"), (F.count_if(album).between(400, 600)).alias("both_kinds"))
 
 
-@R.query()
+@R.query("SELECT CAST(4000 AS BIGINT) AS n, true AS stopped, true AS sized, true AS by_law")
 def generated_text(spark, sf_dir):
-    return generators.zipf_text(spark, 500)
+    """Sentences whose first three words come by the Zipf law of their ranks, to a fiftieth."""
+    text = generators.zipf_text(spark, 4000).select("value", F.split(F.rtrim("value", F.lit(".")), " ").alias("w"))
+    words = text.select(F.explode("w").alias("word"))
+    total = sum(k**-1.5 for k in range(1, generators.VOCABULARY + 1))
+    shares = [F.avg((F.col("word") == w).cast("double")).alias(f"s{k}") for k, w in enumerate(generators.WORDS[:3])]
+    law = words.agg(*shares).first()
+    fits = all(abs(s - (k + 1) ** -1.5 / total) < 0.02 for k, s in enumerate(law))
+    return text.agg(F.count("*").alias("n"), F.every(F.col("value").endswith(".")).alias("stopped"), F.every(F.size("w").between(1, 24)).alias("sized"), F.lit(fits).alias("by_law"))
 
 
-@R.query()
+@R.query("SELECT CAST(5000 AS BIGINT) AS n, true AS in_range, true AS skewed")
 def generated_reads(spark, sf_dir):
-    return generators.skewed_reads(spark, 5000, 50, 400)
+    """Reads by countries of which one has far more than the median."""
+    reads = generators.skewed_reads(spark, 5000, 50, 400)
+    by = reads.groupBy("country").agg(F.count("*").alias("c"), F.every(F.col("country").between(0, 49) & F.col("book").between(0, 399)).alias("fits"))
+    return by.agg(F.sum("c").alias("n"), F.every("fits").alias("in_range"), (F.max("c") > 5 * F.percentile("c", 0.5)).alias("skewed"))
 
 
-@R.query()
+@R.query("SELECT CAST(200 AS BIGINT) AS listeners, true AS unlike, true AS in_range, true AS about_twenty, true AS about_three")
 def generated_ratings(spark, sf_dir):
-    return generators.listener_ratings(spark, 200, 500, 20)
+    """Ratings: listeners with about as many songs as asked, each song once."""
+    by = generators.listener_ratings(spark, 200, 500, 20).groupBy("user").agg(F.count("*").alias("n"), F.count_distinct("item").alias("items"), F.every(F.col("item").between(0, 499)).alias("fits"), F.avg("rating").alias("r"))
+    return by.agg(F.count("*").alias("listeners"), F.every(F.col("n") == F.col("items")).alias("unlike"), F.every("fits").alias("in_range"), F.avg("n").between(17, 22).alias("about_twenty"), F.avg("r").between(2.8, 3.2).alias("about_three"))
 
 
-@R.query()
+@R.query("SELECT CAST(300 AS BIGINT) AS machines, true AS unlike, true AS sized, true AS few_faults")
 def generated_events(spark, sf_dir):
-    return generators.machine_events(spark, 300, 0.02)
+    """Paths of three or four events, of which about one in fifty is a fault."""
+    by = generators.machine_events(spark, 300, 0.02).groupBy("user_id").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"), F.count_if(F.col("code") == 6).alias("wrong"))
+    return by.agg(F.count("*").alias("machines"), F.every(F.col("n") == F.col("ids")).alias("unlike"), F.every(F.col("n").between(3, 4)).alias("sized"), (F.sum("wrong") / F.sum("n")).between(0.005, 0.04).alias("few_faults"))
+
+
+_STAR = "('region', 5, 0), ('nation', 25, 0), ('supplier', 10, 0), ('customer', 150, 0), ('part', 200, 0), ('partsupp', 800, 0), ('orders', 1500, 0), ('lineitem', 1500, 0)"
 
 
-@R.query()
+@R.query(f"SELECT name, CAST(n AS BIGINT) AS n, CAST(strays AS BIGINT) AS strays FROM (VALUES {_STAR}) AS t(name, n, strays)")
 def generated_star_schema(spark, sf_dir):
-    """Rows of each table that the splittable generator makes."""
-    counts = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("name"), "n") for k, df in generators.star_schema(spark, 1500).items()]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.union(c)
+    """Unlike keys of each table that the splittable generator makes (order keys of the lines), and
+    rows whose foreign keys lead nowhere."""
+    t = generators.star_schema(spark, 1500)
+    keys = {"region": ["r_regionkey"], "nation": ["n_nationkey"], "supplier": ["s_suppkey"], "customer": ["c_custkey"], "part": ["p_partkey"], "partsupp": ["ps_partkey", "ps_suppkey"], "orders": ["o_orderkey"], "lineitem": ["l_orderkey"]}
+    refers = {"nation": [("n_regionkey", "region", "r_regionkey")], "supplier": [("s_nationkey", "nation", "n_nationkey")], "customer": [("c_nationkey", "nation", "n_nationkey")], "partsupp": [("ps_partkey", "part", "p_partkey"), ("ps_suppkey", "supplier", "s_suppkey")], "orders": [("o_custkey", "customer", "c_custkey")], "lineitem": [("l_orderkey", "orders", "o_orderkey"), ("l_partkey", "part", "p_partkey"), ("l_suppkey", "supplier", "s_suppkey")]}
+    out = None
+    for name, key in keys.items():
+        own = t[name].agg(F.count_distinct(*key).alias("n"), F.lit(0).cast("bigint").alias("strays"))
+        for c, other, k in refers.get(name, []):
+            own = own.union(t[name].join(t[other], t[name][c] == t[other][k], "left_anti").agg(F.lit(0).cast("bigint").alias("n"), F.count("*").alias("strays")))
+        told = own.agg(F.sum("n").alias("n"), F.sum("strays").alias("strays")).select(F.lit(name).alias("name"), "n", "strays")
+        out = told if out is None else out.union(told)
     return out
 
 
-@R.query()
+@R.query("SELECT range AS l_orderkey, true AS numbered, true AS fits FROM range(1, 1501)")
 def generated_order_lines(spark, sf_dir):
-    return generators.order_lines(spark, 1500)
+    """Lines of each order: numbered from one to seven at most, with prices of their quantities."""
+    price = (F.col("l_extendedprice") / F.col("l_quantity")).between(899.99, 2100.01)
+    fits = F.col("l_quantity").between(1, 50) & F.col("l_discount").between(0, 0.1) & F.col("l_tax").between(0, 0.08) & price
+    by = generators.order_lines(spark, 1500).groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_distinct("l_linenumber").alias("k"), F.max("l_linenumber").alias("last"), F.every(fits).alias("fits"))
+    return by.select("l_orderkey", ((F.col("n") == F.col("k")) & (F.col("n") == F.col("last")) & F.col("n").between(1, 7)).alias("numbered"), "fits")
+
+
+@R.query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 300000")
+def jdbc_round_trip(spark, sf_dir):
+    """Orders through a table of an embedded database and back, the filter in the database's own query."""
+    url, driver = f"jdbc:derby:memory:d{uuid.uuid4().hex};create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    formats.write_jdbc(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").coalesce(1), url, "orders", driver)
+    return formats.read_jdbc(spark, url, 'SELECT * FROM orders WHERE "o_totalprice" > 300000', driver)
 
 
 QUERIES, ORACLE_SQL = R.queries, R.sql

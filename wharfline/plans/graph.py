@@ -6,6 +6,8 @@ supplier ids are shifted by ``SHIFT``.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,7 +54,7 @@ def _step(ranks: DataFrame, graph: DataFrame, rest: DataFrame) -> DataFrame:
 
 
 def pagerank(graph: DataFrame, rounds: int, converge: bool = False) -> DataFrame:
-    """Rank 1/n at first; ``converge`` ends when no vertex has moved.
+    """Rank 1/n at first; ``converge`` ends when no vertex has moved, and warns if one still has at the end.
 
     Vertices without out-edges give nothing on.
     """
@@ -68,6 +70,8 @@ def pagerank(graph: DataFrame, rounds: int, converge: bool = False) -> DataFrame
             if moved.isEmpty():
                 return new
         ranks = new
+    if converge and rounds:
+        warnings.warn(f"ranks still moved after {rounds} rounds", stacklevel=2)
     return ranks
 
 

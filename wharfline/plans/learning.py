@@ -176,21 +176,36 @@ def als_one_factor(spark, sf_dir):
     return users.select("id", F.round(F.col("f")[0], 6).alias("x"))
 
 
-@R.query()
+@R.query("SELECT DISTINCT o_custkey AS id, true AS solved FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
 def als_factors(spark, sf_dir):
-    """Four factors; held against the normal equations in the tests."""
-    users, items = als(order_ratings(spark, sf_dir), 4, 0.1, 3)
-    return users.withColumn("side", F.lit("user")).union(items.withColumn("side", F.lit("item")))
+    """Four factors: whether each user's solve its normal equations, to a millionth of their size."""
+    ratings = order_ratings(spark, sf_dir)
+    users, items = als(ratings, 4, 0.1, 3)
+    return normal_equations(ratings, users, items, 4, 0.1)
 
 
-@R.query()
+def normal_equations(ratings: DataFrame, users: DataFrame, items: DataFrame, k: int, lam: float) -> DataFrame:
+    """(id, solved): the sum of (f.x - r) f over a user's items, plus lam n x, is next to 0."""
+    joined = ratings.join(items.select(F.col("id").alias("item"), "f"), "item").join(users.select(F.col("id").alias("user"), F.col("f").alias("x")), "user")
+    error = sum((F.col("f")[j] * F.col("x")[j] for j in range(k)), F.lit(0.0)) - F.col("rating")
+    parts = [F.sum(error * F.col("f")[j] + lam * F.col("x")[j]).alias(f"g{j}") for j in range(k)]
+    size = F.sum(F.abs(F.col("rating")) * F.sqrt(sum((F.col("f")[j] ** 2 for j in range(k)), F.lit(0.0)))).alias("size")
+    left = joined.groupBy(F.col("user").alias("id")).agg(*parts, size)
+    return left.select("id", (F.greatest(*[F.abs(f"g{j}") for j in range(k)]) <= 1e-6 * F.greatest("size", F.lit(1.0))).alias("solved"))
+
+
+@R.query("""WITH r AS (SELECT DISTINCT o_custkey AS u, l_partkey AS i FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
+    SELECT (SELECT count(DISTINCT u) FROM r) AS users, (SELECT count(DISTINCT i) FROM r) AS items, 4 AS factors, true AS better_than_mean""")
 def als_library(spark, sf_dir):
-    """The library's blocked solver."""
+    """The library's blocked solver: its factors counted, and its error held against the mean's."""
     from pyspark.ml.recommendation import ALS
 
     ratings = order_ratings(spark, sf_dir).select(F.col("user").cast("int").alias("user"), F.col("item").cast("int").alias("item"), F.col("rating").cast("float").alias("rating"))
     model = ALS(rank=4, maxIter=3, regParam=0.1, userCol="user", itemCol="item", ratingCol="rating", seed=1, checkpointInterval=-1).fit(ratings)
-    return model.userFactors.withColumn("side", F.lit("user")).union(model.itemFactors.withColumn("side", F.lit("item")))
+    told = model.transform(ratings)
+    better = F.avg(F.pow(F.col("prediction") - F.col("rating"), 2)) < F.var_pop("rating")
+    users, items, widest = model.userFactors.count(), model.itemFactors.count(), model.userFactors.agg(F.max(F.size("features"))).first()[0]
+    return told.agg(better.alias("better_than_mean")).select(F.lit(users).cast("bigint").alias("users"), F.lit(items).cast("bigint").alias("items"), F.lit(widest).alias("factors"), "better_than_mean")
 
 
 def _local_ascent(x: np.ndarray, y: np.ndarray, alpha: np.ndarray, w: np.ndarray, lam_n: float, passes: int, rng: np.random.Generator) -> np.ndarray:
@@ -198,9 +213,8 @@ def _local_ascent(x: np.ndarray, y: np.ndarray, alpha: np.ndarray, w: np.ndarray
     a, w = alpha.copy(), w.copy()
     norms = (x * x).sum(axis=1)
     for i in rng.integers(0, len(x), passes * len(x)) if len(x) else ():
-        if norms[i] == 0:
-            continue
-        new = min(1.0, max(0.0, a[i] + (1 - y[i] * (x[i] @ w)) * lam_n / norms[i]))
+        # a row of zeros never fits: its dual is at the bound
+        new = min(1.0, max(0.0, a[i] + (1 - y[i] * (x[i] @ w)) * lam_n / norms[i])) if norms[i] else 1.0
         w += (new - a[i]) * y[i] * x[i] / lam_n
         a[i] = new
     return a - alpha
@@ -235,12 +249,21 @@ def cocoa(rows: DataFrame, lam: float = 0.01, blocks: int = 10, rounds: int = 5,
     return state, w
 
 
-@R.query()
+@R.query("SELECT count(*) AS n, CAST(max(len(embedding)) AS INTEGER) AS dims, true AS in_box, true AS dual_below_primal, true AS gap_closed FROM embeddings")
 def cocoa_svm(spark, sf_dir):
-    """Two halves of the vector labels told apart; the weight of every dimension."""
+    """Two halves of the vector labels told apart: duals in [0, 1], weak duality, and a gap that more rounds close."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("index"), F.col("embedding").alias("x"), F.when(F.col("label") < 5, 1.0).otherwise(-1.0).alias("y"))
-    _, w = cocoa(rows)
-    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(w)], "dim long, weight double")
+    first, last = (_gap(*cocoa(rows, rounds=n), 0.01) for n in (1, 5))
+    before = first.first()["gap"]
+    return last.select("n", "dims", "in_box", (F.col("gap") >= -1e-9).alias("dual_below_primal"), (F.col("gap") < before).alias("gap_closed"))
+
+
+def _gap(state: DataFrame, w: np.ndarray, lam: float) -> DataFrame:
+    """(n, dims, in_box, gap) of duals and weights of the hinge loss."""
+    half = lam / 2 * float(w @ w)
+    margin = F.lit(1.0) - F.col("y") * F.aggregate(F.zip_with("x", F.array(*[F.lit(float(v)) for v in w]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    primal, dual = F.avg(F.greatest(margin, F.lit(0.0))) + half, F.avg("alpha") - half
+    return state.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("dims"), (F.min("alpha") >= -1e-12).alias("low"), (F.max("alpha") <= 1 + 1e-12).alias("high"), (primal - dual).alias("gap")).select("n", "dims", (F.col("low") & F.col("high")).alias("in_box"), "gap")
 
 
 QUERIES, ORACLE_SQL = R.queries, R.sql

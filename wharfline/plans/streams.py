@@ -10,8 +10,8 @@ from wharfline.registry import Registry
 from wharfline.session import materialise
 from wharfline.sources.tables import table
 from wharfline.streaming import machine, metrics
-from wharfline.streaming.run import drain, stream_table
-from wharfline.streaming.sources import sentences
+from wharfline.streaming.run import drain, in_stretches, stream_table
+from wharfline.streaming.sources import SENTENCES, sentences
 
 R = Registry()
 
@@ -37,8 +37,8 @@ def state_machine_batch(spark, sf_dir):
 
 @R.query(_FSM)
 def state_machine_stream(spark, sf_dir):
-    """The same alerts from a stream with keyed state."""
-    return drain(machine.alerts_stream(_coded(stream_table(spark, sf_dir, "events"))))
+    """The same alerts from a stream in several batches, with keyed state between them."""
+    return drain(machine.alerts_stream(_coded(stream_table(spark, sf_dir, "events", order="ts"))))
 
 
 SLIDE, SLOTS = "10 minutes", "30 minutes"
@@ -112,11 +112,13 @@ def forward_stream(spark, sf_dir):
     return drain(stream_table(spark, sf_dir, "events").where(F.col("event_type").rlike(r"\A(click|view)\z")).select("event_id"))
 
 
-@R.query("SELECT count(*) AS n FROM events")
+@R.query("SELECT min(event_id) AS first, max(event_id) AS last, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS total FROM events GROUP BY event_id * 6 // (SELECT max(event_id) + 1 FROM events)")
 def micro_batch_counts(spark, sf_dir):
-    """Counts told per micro-batch, summed over all."""
-    ev = stream_table(spark, sf_dir, "events").groupBy().agg(F.count("*").alias("n"))
-    return drain(ev, "complete")
+    """Counts of each micro-batch by itself: the table comes in six stretches of its ids."""
+    ev = table(spark, sf_dir, "events").select("event_id")
+    many = (ev.agg(F.max("event_id")).first()[0] or 0) + 1
+    batches = drain(in_stretches(ev, F.floor(F.col("event_id") * 6 / many).cast("int"), 6), numbered=True)
+    return batches.groupBy("batch").agg(F.min("event_id").alias("first"), F.max("event_id").alias("last"), F.count("*").alias("n"), F.sum("event_id").alias("total")).drop("batch")
 
 
 @R.query("SELECT event_id, (event_id % 1500 BETWEEN 1 AND 1000) AND event_id // 1500 >= 1000 - event_id % 1500 AND (event_id // 1500 - (1000 - event_id % 1500)) % 999 = 0 AS tagged, event_id % 1500 = 0 AS simple FROM events")
@@ -154,10 +156,11 @@ def chained_maps(spark, sf_dir):
     return table(spark, sf_dir, "events").select((F.col("event_id") * 2).alias("v")).select((F.col("v") + 1).alias("v")).where((F.col("v") - 1) / 2 % 3 != 1)
 
 
-@R.query()
+@R.query("SELECT CAST(1000 AS BIGINT) AS n, CAST(1000 AS BIGINT) AS ids, CAST(5 AS BIGINT) AS kinds, true AS known")
 def random_sentences(spark, sf_dir):
-    """A sentence for every id of a number sequence."""
-    return sentences(spark.range(1, 1001).withColumnRenamed("id", "value"))
+    """A sentence for every id of a number sequence: all five occur, and no other."""
+    drawn = sentences(spark.range(1, 1001).withColumnRenamed("id", "value"))
+    return drawn.agg(F.count("*").alias("n"), F.count_distinct("value").alias("ids"), F.count_distinct("sentence").alias("kinds"), F.every(F.col("sentence").isin(*SENTENCES)).alias("known"))
 
 
 @R.query("SELECT e.event_id, c.c_name FROM events e JOIN customer c ON e.user_id = c.c_custkey")

@@ -30,11 +30,14 @@ def build_session(app: str = "wharfline", cores: str = "*", shuffle_partitions:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is what ``spark.checkpoint.dir`` names. Only where that is unset, as in
-    local tests, a temporary folder is made and set.
+    It is what ``spark.checkpoint.dir`` names. Only where that is unset on a
+    local master, as in tests, a temporary folder is made and set; on a cluster
+    no machine's own folder would do, so that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         named = tempfile.mkdtemp(prefix="wharfline-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)

@@ -162,13 +162,20 @@ def spark_schema(avro: dict) -> T.StructType:
     return T.StructType([T.StructField(f["name"], _BACK[pick(f["type"])]) for f in avro["fields"]])
 
 
+def _qualified(spark, path: str) -> str:
+    """The path in the default store, where Spark would read it, if it names none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return f"file://{whole[5:]}" if whole.startswith("file:/") and not whole.startswith("file://") else whole
+
+
 def write_avro(df: DataFrame, path: str) -> None:
     """A file per partition under ``path``, a URI that all executors can write."""
     if has_native(df.sparkSession):
         df.write.format("avro").mode("overwrite").save(path)
         return
     schema = schema_json(df.schema)
-    uri = path if ":" in path.split("/")[0] else f"file://{path}"
+    uri = _qualified(df.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs

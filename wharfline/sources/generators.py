@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,15 +45,27 @@ def corner_points(spark: SparkSession, n: int, dims: int, k: int, seed: int = 1)
 
 
 def random_graph(spark: SparkSession, vertices: int, edges: int, directed_up: bool = False, seed: int = 1) -> DataFrame:
-    """Distinct edges without loops; ``directed_up`` puts the lesser vertex first."""
-    i = F.col("id")
-    a, b = (F.floor(uniform(i, seed, k) * vertices).cast("bigint") for k in (0, 1))
-    drawn = spark.range(edges + edges // 4).select(a.alias("a"), b.alias("b")).where("a <> b")
+    """Distinct edges without loops; ``directed_up`` puts the lesser vertex first.
+
+    All possible pairs are numbered, and edge i is pair (a i + b) mod their
+    number, with no common factor: so exactly ``edges`` unlike edges come out,
+    without an exchange, up to the whole graph. More can't be had.
+    """
+    pairs = vertices * (vertices - 1) // (2 if directed_up else 1)
+    if edges > pairs:
+        raise ValueError(f"{vertices} vertices have no more than {pairs} edges")
+    a = max(1, min(int(pairs * 0.6180339887), (1 << 62) // max(1, edges)))
+    while math.gcd(a, pairs) > 1:
+        a -= 1
+    k = F.pmod(F.col("id") * a + seed * 2_654_435_761 % max(1, pairs), F.lit(max(1, pairs)))
+    drawn = spark.range(edges).select(k.alias("k"))
     if directed_up:
-        drawn = drawn.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
-    else:
-        drawn = drawn.select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    return drawn.distinct().limit(edges)
+        near = F.floor((1 + F.sqrt(1 + 8 * F.col("k").cast("double"))) / 2)
+        least = lambda d: (d * (d - 1) / 2).cast("bigint")
+        drawn = drawn.select("k", near.alias("d")).select("k", F.when(least(F.col("d")) > F.col("k"), F.col("d") - 1).when(least(F.col("d") + 1) <= F.col("k"), F.col("d") + 1).otherwise(F.col("d")).alias("dst"))
+        return drawn.select((F.col("k") - least(F.col("dst"))).alias("src"), "dst")
+    src, rest = F.expr(f"k div {max(1, vertices - 1)}"), F.col("k") % max(1, vertices - 1)
+    return drawn.select(src.alias("src"), (rest + (rest >= src).cast("int")).alias("dst"))
 
 
 def web_log(spark: SparkSession, n: int, seed: int = 1, start: int = 1_400_000_000) -> DataFrame:
@@ -66,9 +79,10 @@ def web_log(spark: SparkSession, n: int, seed: int = 1, start: int = 1_400_000_0
 
 
 def zipf_rank(u: Column, n: int, skew: float = 1.5) -> Column:
-    """A rank from 1 to n by the inverse of the continuous power law."""
-    top = float(n + 1) ** (1 - skew)
-    return F.least(F.floor((1 - u * (1 - top)) ** (1 / (1 - skew))), F.lit(n)).cast("int")
+    """A rank from 1 to n with a chance in proportion to rank^-skew, by the cumulated sums."""
+    shares = list(itertools.accumulate(k**-skew for k in range(1, n + 1)))
+    sums = F.array(*[F.lit(s / shares[-1]) for s in shares[:-1]])
+    return (F.size(F.filter(sums, lambda s: s <= u)) + 1).cast("int")
 
 
 def zipf_text(spark: SparkSession, n: int, most: int = 24, seed: int = 1) -> DataFrame:

@@ -5,12 +5,16 @@ from __future__ import annotations
 import socket
 import struct
 import time
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.streaming.query import StreamingQuery
 
-from wharfline.functions.scalar import decode_event
+from wharfline.functions.scalar import decode_event, encode_event
 from wharfline.session import has_format
 
 #: Own sentences for the random source.
@@ -97,6 +101,34 @@ def frame_socket(spark: SparkSession, host: str = "127.0.0.1", port: int = PORT)
     return spark.readStream.format("frame_socket").option("host", host).option("port", port).load()
 
 
+def _send_frames(host: str, port: int) -> Callable:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        link = None
+        for b in batches:
+            if b.num_rows:
+                link = link or socket.create_connection((host, port))
+                link.sendall(np.stack((b.column(0).to_numpy(), b.column(1).to_numpy()), axis=1).astype("<i4").tobytes())
+        if link:
+            link.close()
+        yield from ()
+
+    return send
+
+
+def to_frame_socket(df: DataFrame, checkpoint: str, host: str = "127.0.0.1", port: int = PORT) -> StreamingQuery:
+    """Starts a stream that sends (source, event) rows as 8-byte frames to a port.
+
+    Every task with rows has a connection of its own. As a socket can't take
+    frames back, a batch that is run again sends its frames again.
+    """
+
+    def told(batch: DataFrame, number: int) -> None:
+        pairs = batch.select(F.col("source").cast("int"), F.col("event").cast("int"))
+        pairs.mapInArrow(_send_frames(host, port), "source int, event int").write.format("noop").mode("overwrite").save()
+
+    return df.writeStream.foreachBatch(told).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def has_kafka(spark: SparkSession) -> bool:
     return has_format(spark, "kafka")
 
@@ -116,8 +148,13 @@ def kafka_strings(spark: SparkSession, servers: str, topic: str, **options: str)
     return raw.select(F.col("value").cast("string").alias("value"))
 
 
+def event_values(events: DataFrame) -> DataFrame:
+    """(source, event) rows as the 8-byte ``value`` that a topic of events holds."""
+    return events.select(encode_event(F.col("source"), F.col("event")).alias("value"))
+
+
 def to_kafka(df: DataFrame, servers: str, topic: str, checkpoint: str):
-    """Writes a ``value`` column (and ``partition``, if there) to a topic."""
+    """Writes a ``value`` column (and ``partition``, if there) to a topic; see ``event_values``."""
     if not has_kafka(df.sparkSession):
         raise RuntimeError("the Kafka connector isn't on the class path")
     return df.writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("checkpointLocation", checkpoint).start()
