@@ -6,7 +6,7 @@ from wharfline.llm import decontaminate, line_dedup, packing, quality, simhash
 from test_decontaminate import plain as plain_hits
 from test_line_dedup import plain as plain_lines
 from test_packing import check as check_packing
-from test_simhash import plain_components, plain_print
+from test_similar import plain as plain_groups
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -30,11 +30,7 @@ def test_each_stage_against_brute_force(spark, tmp_path):
     assert rows("line_dedup") == [(i, t) for (i, _), (t, _, _) in zip(before, plain_lines(before))]
     assert all(r.n_chars == len(r.text) for r in held["line_dedup"].collect())
 
-    prints = {i: plain_print(t) for i, t in rows("line_dedup")}
-    root, least = plain_components(set(prints.values())), {}
-    for i, p in prints.items():
-        least[root[p]] = min(least.get(root[p], i), i)
-    assert [i for i, _ in rows("near_duplicates")] == sorted(least.values())
+    assert [i for i, _ in rows("near_duplicates")] == plain_groups(rows("line_dedup"))[0]
 
     before = rows("near_duplicates")
     bench = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
