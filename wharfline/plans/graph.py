@@ -168,20 +168,15 @@ def adjacency_parsed(spark, sf_dir):
     return lines.select(ids.alias("i")).select(F.col("i")[0].alias("src"), F.explode(F.slice("i", 2, F.greatest(F.size("i") - 1, F.lit(0)))).alias("dst"))
 
 
-_SPARSE = f"SELECT DISTINCT o_custkey AS a, {SHIFT} + l_partkey AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity = 50"
+_BOUGHT = f"SELECT DISTINCT o_custkey AS a, {SHIFT} + l_partkey AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey"
 
 
-@R.query(f"WITH RECURSIVE p AS ({_SPARSE}), e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), c(node, seen) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, c.seen FROM c JOIN e ON e.a = c.node WHERE e.b <> c.seen) SELECT node, min(seen) AS component FROM c GROUP BY node")
+@R.query(f"""WITH RECURSIVE p AS ({_BOUGHT}), e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+    c(node, component) USING KEY (node) AS (SELECT a, a FROM e GROUP BY a
+        UNION SELECT e.b, min(c.component) FROM c JOIN e ON e.a = c.node JOIN recurring.c AS r ON r.node = e.b GROUP BY e.b HAVING min(c.component) < min(r.component))
+    SELECT node, component FROM c""")
 def components(spark, sf_dir):
-    """Connected components of the sparse graph of large orders."""
-    orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").where("l_quantity = 50")
-    e = orders.join(items, orders.o_orderkey == items.l_orderkey).select(F.col("o_custkey").alias("src"), (F.col("l_partkey") + SHIFT).alias("dst")).distinct()
-    return connected_components(e)
-
-
-@R.query()
-def components_whole(spark, sf_dir):
-    """Connected components of all orders and their parts; too many links for the recursive SQL."""
+    """Connected components of the graph of all customers and the parts they ordered."""
     orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     e = orders.join(items, orders.o_orderkey == items.l_orderkey).select(F.col("o_custkey").alias("src"), (F.col("l_partkey") + SHIFT).alias("dst")).distinct()
     return connected_components(e)
