@@ -30,7 +30,7 @@ def unrepeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that SimHash finds and 0.8 of their five-word shingles connect."""
+    """One document of each group that 0.8 of their five-word shingles connect, by SimHash and an exact search for the rest."""
     return similar.deduplicate(docs)
 
 

@@ -156,6 +156,59 @@ def test_recall_on_whole_table(spark):
     assert near and met >= 0.9 * len(near)
 
 
+def test_what_simhash_leaves_apart_is_found(spark):
+    """Texts of four shingles and of one more: at 0.8, but a fifth of the votes were even."""
+    rng, docs = random.Random(9), []
+    for i in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(9)]
+        docs += [(2 * i, " ".join(words[:8])), (2 * i + 1, " ".join(words))]
+    kept = similar.deduplicate(spark.createDataFrame(rows(docs), SCHEMA)).collect()
+    assert sorted(r.doc_id for r in kept) == plain(docs)[0] == list(range(0, 80, 2))
+
+
+def test_rest_in_blocks_against_all_pairs(spark):
+    """Without any link known, all pairs at 0.8 or more are among the rest; with all known, none is."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(150)]
+    docs = [(i, edited(base, rng, rng.choice([1, 2, 3, 4]))) for i in range(30)]
+    keyed = spark.createDataFrame(docs, "__id long, __text string").select("__id", F.xxhash64("__text").alias("__hash"), "__text")
+    prints = materialise(similar._prints(keyed, 5), "similar-test")
+    nodes = prints.select("node", F.col("__hash").alias("rep"))
+    of = {r.node: r["__id"] for r in prints.collect()}
+    sets = [shingles(t) for _, t in docs]
+    near = {(a, b) for b in range(30) for a in range(b) if jaccard(sets[a], sets[b]) >= 0.8}
+    assert 20 < len(near) < 435
+    for block in (8192, 8):
+        found = similar._rest(nodes, keyed.select("__hash", "__text"), spark.createDataFrame([], "node long, component long"), 5, 0.8, block).collect()
+        assert {tuple(sorted((of[r.src], of[r.dst]))) for r in found} >= near
+    one = spark.createDataFrame([(n, min(of)) for n in of], "node long, component long")
+    assert similar._rest(nodes, keyed.select("__hash", "__text"), one, 5, 0.8).isEmpty()
+
+
+def test_rare_shingles_and_bounds_lose_no_pair():
+    """Random sets at just 0.8 or more have a rare shingle in common, whatever is common, and pass the bounds."""
+    rng = np.random.default_rng(2)
+    none = np.empty(0, np.uint64)
+    for n in (1, 4, 5, 9, 10, 35, 60, 333):
+        for _ in range(40):
+            pool = np.unique(rng.integers(0, 1 << 63, 2 * n + 2, dtype=np.uint64))
+            rng.shuffle(pool)
+            lost = int(rng.integers(0, n // 5 + 1))
+            a = np.sort(pool[:n])
+            b = np.sort(pool[lost : n + int(rng.integers(0, max(1, n // 4 + 1)))])
+            keys = np.sort(rng.permutation(pool)[: len(pool) // 2])
+            if similar.similarity(a, b) < 0.8:
+                continue
+            for k, c in ((none, none.view(np.int64)), (keys, rng.integers(2, 50, keys.size))):
+                assert np.intersect1d(similar.rare_first(a, k, c), similar.rare_first(b, k, c)).size
+            prints = np.stack([np.packbits(np.bincount((s % np.uint64(similar.BITS)).view(np.int64), minlength=similar.BITS) & 1) for s in sorted((a, b), key=len)]).view(np.uint64)
+            sizes = np.array(sorted((a.size, b.size)))
+            for unit in (1, 20):  # one pair, and a unit that isn't small
+                u, ids, roots = np.zeros(2 * unit, np.int64), np.arange(2 * unit), np.arange(2 * unit)
+                got = similar._unlike(u, ids, np.repeat(prints, unit, axis=0), np.repeat(sizes, unit), roots)
+                assert sum(len(x) for x, *_ in got) >= unit * unit
+
+
 def test_odd_rows(spark):
     text = "a long line of words that is written more than once here"
     docs = [(1, text), (1, text), (None, text), (5, None), (4, None), (7, text.upper()), (8, "other words")]

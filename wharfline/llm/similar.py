@@ -1,4 +1,4 @@
-"""Near-duplicate groups by SimHash over five-word shingles and multi-index hashing.
+"""Near-duplicate groups by SimHash over five-word shingles and multi-index hashing, made whole by rare shingles.
 
 Two texts are linked if their sets of five-word shingles have a Jaccard
 similarity of ``LEAST`` at least. At that similarity some 15 of 100 fingerprint
@@ -18,6 +18,18 @@ units the nearest pairs of each text are checked on the shingle sets themselves;
 what these connect needs no further pair, and all other pairs between unlike
 components are checked as well. So no link is below ``LEAST``.
 
+What that leaves apart (pairs that met nowhere, that are more than ``NEAR`` bits
+apart or that a unit's forest passed over) is found exactly. All shingles have
+one order, rare ones first; of two sets as similar as ``LEAST`` the first
+n - ceil(LEAST * n) + 1 shingles in that order, n being a set's own size, have one
+in common. So each set is filed under these, and what meets there in unlike
+components is checked, unless the sizes, or the parities of the sets over
+``BITS`` buckets, already tell that too many shingles differ; both are bounds that no
+similar pair exceeds. Which shingles are common is counted on about ``SAMPLED``
+sets; the order decides how much meets, never what is found. So the groups are
+those of all pairs, and a dense group, being one component by then, makes no
+pairs here.
+
 Texts with equal sets are one node, so copies make no pairs. A value that many
 nodes share is split into blocks, and each pair of blocks is a unit of its own.
 
@@ -29,8 +41,10 @@ of equal distance are paired in the order of their hashes; the rest is as in
 
 from __future__ import annotations
 
+import functools
 import itertools
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +67,10 @@ NEAR, STEPS = 104, 2
 SMALL, BLOCK = 12, 8192
 #: Bytes of a list of nodes that goes out to all tasks.
 SENT_BYTES = 32 << 20
+#: Buckets whose parities bound the difference of two sets.
+BITS = 1024
+#: Sets, about, on which common shingles are counted, and how many of these go out to all tasks.
+SAMPLED, COMMON = 20_000, 1 << 18
 #: Shingles whose bits are unpacked at once.
 _CHUNK = 1 << 13
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -116,16 +134,8 @@ def _prints(keyed: DataFrame, shingle: int) -> DataFrame:
     return keyed.mapInArrow(run, f"__id {kind}, __hash long, node long, print binary, weak binary")
 
 
-def _met(nodes: DataFrame) -> DataFrame:
-    """(unit, node, n): the filings of the nodes (node, print, weak) under values that n > 1 of them have."""
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
-                prints, weak = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8) for k in (1, 2))
-                units = filed(prints.reshape(-1, 64), weak.reshape(-1, SEGMENTS, WEAK))
-                yield pa.RecordBatch.from_arrays([pa.array(units.ravel()), pa.array(np.repeat(b.column(0).to_numpy(), units.shape[1]))], names=["unit", "node"])
+def _shared(filings: DataFrame) -> DataFrame:
+    """Those of (unit, node) whose unit others have as well."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held, wide = None, [], False  # a unit may go on in the next batch
@@ -142,8 +152,22 @@ def _met(nodes: DataFrame) -> DataFrame:
             if keep.size:
                 yield pa.RecordBatch.from_arrays([pa.array(u[keep]), pa.array(n[keep])], names=["unit", "node"])
 
+    return materialise(filings.repartition("unit").sortWithinPartitions("unit").mapInArrow(meet, "unit long, node long"), "similar-met")
+
+
+def _met(nodes: DataFrame) -> DataFrame:
+    """(unit, node, n): the filings of the nodes (node, print, weak) under values that n > 1 of them have."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                prints, weak = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8) for k in (1, 2))
+                units = filed(prints.reshape(-1, 64), weak.reshape(-1, SEGMENTS, WEAK))
+                yield pa.RecordBatch.from_arrays([pa.array(units.ravel()), pa.array(np.repeat(b.column(0).to_numpy(), units.shape[1]))], names=["unit", "node"])
+
     spread_out = nodes.where("print is not null").select("node", "print", "weak").mapInArrow(spread, "unit long, node long")
-    met = materialise(spread_out.repartition("unit").sortWithinPartitions("unit").mapInArrow(meet, "unit long, node long"), "similar-met")
+    met = _shared(spread_out)
     return met.join(materialise(met.groupBy("unit").agg(F.count("*").alias("n")), "similar-sizes"), "unit")
 
 
@@ -188,18 +212,54 @@ def _near(units: np.ndarray, nodes: np.ndarray, prints: np.ndarray) -> list[tupl
     return found
 
 
-def _candidates(met: DataFrame, nodes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(src, dst, d): pairs that are near in some unit, src < dst."""
+def _unlike(units: np.ndarray, nodes: np.ndarray, prints: np.ndarray, sizes: np.ndarray, roots: np.ndarray, least: float = LEAST) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(node, node, parities that differ) of all pairs inside runs of equal ``units`` that may be as similar as ``least``.
+
+    The rows are sorted by unit and size; pairs of equal ``roots`` are left out.
+    """
+    cuts = np.flatnonzero(np.concatenate(([True], units[1:] != units[:-1], [True])))
+    lengths = np.diff(cuts)
+    found = []
+
+    def add(a: np.ndarray, b: np.ndarray) -> None:
+        ok = (roots[a] != roots[b]) & (sizes[a] >= least * sizes[b] - 1e-6)
+        a, b = a[ok], b[ok]
+        d = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1, dtype=np.int64)
+        ok = d <= (sizes[a] + sizes[b]) * (1 - least) / (1 + least) + 1e-6
+        if ok.any():
+            found.append((nodes[a[ok]], nodes[b[ok]], d[ok]))
+
+    few = np.flatnonzero(np.repeat(lengths <= SMALL, lengths))
+    for step in range(1, SMALL):
+        few = few[few + step < units.size]
+        few = few[units[few + step] == units[few]]
+        for i in range(0, few.size, 1 << 16):
+            add(few[i : i + (1 << 16)], few[i : i + (1 << 16)] + step)
+    for c in np.flatnonzero(lengths > SMALL):
+        low, high = int(cuts[c]), int(cuts[c + 1])
+        if (roots[low:high] == roots[low]).all():
+            continue
+        ends = low + np.searchsorted(sizes[low:high], sizes[low:high] / least + 1e-6, "right")
+        for x, end in zip(range(low, high), ends.tolist(), strict=True):
+            add(np.full(end - x - 1, x), np.arange(x + 1, end))
+    return found
+
+
+def _candidates(met: DataFrame, nodes: DataFrame, block: int = BLOCK, search: Callable = _near, more: tuple[str, ...] = ()) -> DataFrame:
+    """(src, dst, d): pairs that are near in some unit, src < dst.
+
+    ``search`` gets units, nodes, prints and the columns ``more`` of ``nodes``, sorted by unit and by these.
+    """
     split = met.withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     split = split.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     units = split.select(F.xxhash64("unit", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), "node")
-    full = units.join(nodes.select("node", "print"), "node").select("unit", "node", "print")
+    full = units.join(nodes.select("node", "print", *more), "node").select("unit", "node", "print", *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
 
-        def flush(u: np.ndarray, n: np.ndarray, p: np.ndarray) -> Iterator[pa.RecordBatch]:
-            found = _near(u, n, p)
+        def flush(*rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            found = search(*rows)
             if found:
                 a, b, d = (np.concatenate(x) for x in zip(*found, strict=True))
                 rows = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b), d), axis=1), axis=0)
@@ -207,16 +267,19 @@ def _candidates(met: DataFrame, nodes: DataFrame, block: int = BLOCK) -> DataFra
                     yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[i : i + (1 << 16), k])) for k in range(3)], names=["src", "dst", "d"])
 
         for b in batches:
-            new = [b.column(0).to_numpy(), b.column(1).to_numpy(), np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint64).reshape(-1, 8)]
+            if not b.num_rows:
+                continue
+            new = [b.column(0).to_numpy(), b.column(1).to_numpy(), np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint64).reshape(b.num_rows, -1)]
+            new += [b.column(3 + k).to_numpy() for k in range(len(more))]
             held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
-            last = int(np.searchsorted(held[0], held[0][-1])) if held[0].size else 0
+            last = int(np.searchsorted(held[0], held[0][-1]))
             if last > 1 << 15:  # whole units only
                 yield from flush(*(x[:last] for x in held))
                 held = [x[last:] for x in held]
-        if held and held[0].size:
+        if held:
             yield from flush(*held)
 
-    return full.repartition("unit").sortWithinPartitions("unit", "node").mapInArrow(run, "src long, dst long, d long").distinct()
+    return full.repartition("unit").sortWithinPartitions("unit", *more, "node").mapInArrow(run, "src long, dst long, d long").distinct()
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
@@ -249,21 +312,86 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int
     return materialise(pairs.join(a, "src").join(b, "dst").select("src", "dst", "a", "b").mapInArrow(check, "src long, dst long"), "similar-links")
 
 
-def links(prints: DataFrame, texts: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """Verified links (src, dst) that connect what the candidates of all units connect."""
-    nodes = materialise(prints.groupBy("node").agg(F.min("__hash").alias("rep"), F.first("print").alias("print"), F.first("weak").alias("weak")), "similar-nodes")
-    pairs = materialise(_candidates(_met(nodes), nodes), "similar-candidates")
+def _common(nodes: DataFrame, texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the commonest shingles of a sample, and how many of its sets have each."""
+    some = nodes.where(F.pmod(F.xxhash64("rep"), F.lit(max(1, nodes.count() // SAMPLED))) == 0).select("rep")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column(0).cast(pa.binary()):
+                s = shingle_set(x.as_py(), shingle).view(np.int64)
+                for i in range(0, s.size, 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(s[i : i + (1 << 16)])], names=["shingle"])
+
+    one = texts.join(F.broadcast(some), F.col("__hash") == F.col("rep")).groupBy("rep").agg(F.first("__text").alias("__text"))
+    counts = one.select("__text").mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
+    top = counts.where("n > 1").orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
+    keys = top.column("shingle").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], top.column("n").to_numpy()[order]
+
+
+def rare_first(found: np.ndarray, keys: np.ndarray, counts: np.ndarray, least: float = LEAST) -> np.ndarray:
+    """Those shingles of a sorted set, the rare ones, of which every set as similar as ``least`` has one among its own."""
+    rank = np.zeros(found.size, np.int64)
+    if keys.size:
+        at = np.minimum(np.searchsorted(keys, found), keys.size - 1)
+        rank = np.where(keys[at] == found, counts[at], 0)
+    return found[np.argsort(rank, kind="stable")[: found.size - math.ceil(least * found.size - 1e-6) + 1]]
+
+
+def _rest(nodes: DataFrame, texts: DataFrame, roots: DataFrame, shingle: int, least: float, block: int = BLOCK) -> DataFrame:
+    """(src, dst, d): all pairs of unlike ``roots`` that may be as similar as ``least``."""
+    shared = nodes.sparkSession.sparkContext.broadcast(_common(nodes, texts, shingle))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = shared.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                sets = [shingle_set(x, shingle) for x in whole.slice(at, 512).column(0).cast(pa.binary()).to_pylist()]
+                sets = [s for s in sets if s.size]
+                node = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets), np.uint64, len(sets)).view(np.int64)
+                parity = [np.packbits(np.bincount((s % np.uint64(BITS)).view(np.int64), minlength=BITS) & 1).tobytes() for s in sets]
+                rare = [rare_first(s, keys, counts, least).view(np.int64) for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(node), pa.array([s.size for s in sets], pa.int64()), pa.array(parity, pa.binary()), pa.array(rare, pa.list_(pa.int64()))],
+                    names=["node", "size", "print", "rare"],
+                )
+
+    made = texts.select("__text").mapInArrow(run, "node long, size long, print binary, rare array<long>")
+    made = materialise(made.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "print", "rare")]), "similar-rare")
+    met = _shared(made.select(F.explode("rare").alias("unit"), "node"))
+    rooted = met.join(roots.withColumnRenamed("component", "root"), "node", "left").select("unit", F.coalesce("root", "node").alias("root"))
+    units = rooted.groupBy("unit").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("z")).where("a != z").select("unit", "n")
+    named = met.select("node").distinct().join(made.select("node", "size", "print"), "node").join(roots, "node", "left")
+    named = materialise(named.select("node", "size", "print", F.coalesce("component", "node").alias("root")), "similar-rooted")
+    search = functools.partial(_unlike, least=least)
+    return _candidates(met.join(materialise(units, "similar-units"), "unit"), named, block, search, ("size", "root"))
+
+
+def _connecting(pairs: DataFrame, known: DataFrame | None, nodes: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Verified links among ``pairs`` (src, dst, d) that connect, with the links ``known``, what all of them connect."""
     ends = pairs.select("*", F.explode(F.array("src", "dst")).alias("end"))
     nearest = F.min(F.struct("d", "src", "dst")).alias("p")
     first = materialise(ends.groupBy("end").agg(nearest).select("p.src", "p.dst").distinct(), "similar-nearest")
     found = _verified(first, nodes, texts, shingle, least)
-    roots = materialise(connected_components(found), "similar-roots")
+    roots = materialise(connected_components(found if known is None else found.union(known)), "similar-roots")
     named = lambda k: roots.select(F.col("node").alias(k), F.col("component").alias(f"{k}_root"))
     left = pairs.join(first, ["src", "dst"], "left_anti").join(named("src"), "src", "left").join(named("dst"), "dst", "left")
     left = left.where(F.coalesce("src_root", "src") != F.coalesce("dst_root", "dst"))
     return found.union(_verified(left, nodes, texts, shingle, least))
 
 
+def links(prints: DataFrame, texts: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
+    """Verified links (src, dst) that connect just what all pairs as similar as ``least`` connect."""
+    nodes = materialise(prints.groupBy("node").agg(F.min("__hash").alias("rep"), F.first("print").alias("print"), F.first("weak").alias("weak")), "similar-nodes")
+    pairs = materialise(_candidates(_met(nodes), nodes), "similar-candidates")
+    found = materialise(_connecting(pairs, None, nodes, texts, shingle, least), "similar-found")
+    roots = materialise(connected_components(found), "similar-found-roots")
+    rest = materialise(_rest(nodes, texts, roots, shingle, least), "similar-rest")
+    return found if rest.isEmpty() else found.union(_connecting(rest, found, nodes, texts, shingle, least))
+
+
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
     """``docs`` with one document of each group of similar texts, that with the least id."""
     i, t = F.col(quoted(doc_id)), F.col(quoted(text))
