@@ -1,7 +1,10 @@
 import random
+import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -215,3 +218,42 @@ def test_odd_rows(spark):
     got = similar.deduplicate(spark.createDataFrame(rows(docs), SCHEMA)).collect()
     assert sorted(r.doc_id for r in got) == [1, 4, 8]
     assert similar.deduplicate(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+class Captured:
+    """Takes the place of a frame: keeps the function that a worker would run."""
+
+    def __init__(self, schema):
+        self.schema = schema
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_a_batch_is_held_in_parts(spark):
+    """The sets of a whole batch of texts are never held at once."""
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(10**4)}" for _ in range(200)) for _ in range(3000)]
+    ids = pa.array(range(3000), pa.int64())
+    run = similar._prints(Captured(spark.range(0).toDF("__id").schema), 5)
+    batch = pa.RecordBatch.from_arrays([ids, ids, pa.array(texts)], names=["__id", "__hash", "__text"])
+    tracemalloc.start()
+    done = sum(b.num_rows for b in run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert done == 3000 and peak < 5 << 20
+
+
+def own_mb():
+    with open("/proc/self/smaps_rollup") as f:
+        return int(re.search(r"\nAnonymous:\s+(\d+)", f.read())[1]) / 1024
+
+
+def test_workers_give_back_what_tasks_before_took(spark):
+    """What an earlier task left unused goes when the stage's own task begins."""
+    run = similar._prints(Captured(spark.range(0).toDF("__id").schema), 5)
+    left = [bytearray(100_000) for _ in range(2000)]
+    pinned = left[-1]  # at the heap's end, so that nothing below is returned by itself
+    del left
+    held = own_mb()
+    assert list(run(iter([]))) == [] and len(pinned) and held - own_mb() > 100

@@ -55,7 +55,7 @@ from pyspark.sql import functions as F
 from wharfline.llm.names import quoted
 from wharfline.llm.simhash import keep_least
 from wharfline.plans.components import connected_components
-from wharfline.session import materialise
+from wharfline.session import lean, materialise
 
 SEED = 43
 SHINGLE = 5
@@ -71,6 +71,8 @@ SENT_BYTES = 32 << 20
 BITS = 1024
 #: Sets, about, on which common shingles are counted, and how many of these go out to all tasks.
 SAMPLED, COMMON = 20_000, 1 << 18
+#: Texts of a batch whose sets are held at once.
+_TEXTS = 512
 #: Shingles whose bits are unpacked at once.
 _CHUNK = 1 << 13
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -121,17 +123,19 @@ def _prints(keyed: DataFrame, shingle: int) -> DataFrame:
     """(__id, __hash, node, print, weak) from (__id, __hash, __text); node is a hash of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(x, shingle) for x in b.column(2).cast(pa.binary()).to_pylist()]
-            node = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets), np.uint64, len(sets)).view(np.int64)
-            made = [fingerprint(s) if s.size else None for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(node), pa.array([m and m[0].tobytes() for m in made], pa.binary()), pa.array([m and m[1].tobytes() for m in made], pa.binary())],
-                names=["__id", "__hash", "node", "print", "weak"],
-            )
+        for whole in batches:
+            for at in range(0, whole.num_rows, _TEXTS):
+                b = whole.slice(at, _TEXTS)
+                sets = [shingle_set(x, shingle) for x in b.column(2).cast(pa.binary()).to_pylist()]
+                node = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets), np.uint64, len(sets)).view(np.int64)
+                made = [fingerprint(s) if s.size else None for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), b.column(1), pa.array(node), pa.array([m and m[0].tobytes() for m in made], pa.binary()), pa.array([m and m[1].tobytes() for m in made], pa.binary())],
+                    names=["__id", "__hash", "node", "print", "weak"],
+                )
 
     kind = keyed.schema["__id"].dataType.simpleString()
-    return keyed.mapInArrow(run, f"__id {kind}, __hash long, node long, print binary, weak binary")
+    return keyed.mapInArrow(lean(run), f"__id {kind}, __hash long, node long, print binary, weak binary")
 
 
 def _shared(filings: DataFrame) -> DataFrame:
@@ -152,7 +156,7 @@ def _shared(filings: DataFrame) -> DataFrame:
             if keep.size:
                 yield pa.RecordBatch.from_arrays([pa.array(u[keep]), pa.array(n[keep])], names=["unit", "node"])
 
-    return materialise(filings.repartition("unit").sortWithinPartitions("unit").mapInArrow(meet, "unit long, node long"), "similar-met")
+    return materialise(filings.repartition("unit").sortWithinPartitions("unit").mapInArrow(lean(meet), "unit long, node long"), "similar-met")
 
 
 def _met(nodes: DataFrame) -> DataFrame:
@@ -166,7 +170,7 @@ def _met(nodes: DataFrame) -> DataFrame:
                 units = filed(prints.reshape(-1, 64), weak.reshape(-1, SEGMENTS, WEAK))
                 yield pa.RecordBatch.from_arrays([pa.array(units.ravel()), pa.array(np.repeat(b.column(0).to_numpy(), units.shape[1]))], names=["unit", "node"])
 
-    spread_out = nodes.where("print is not null").select("node", "print", "weak").mapInArrow(spread, "unit long, node long")
+    spread_out = nodes.where("print is not null").select("node", "print", "weak").mapInArrow(lean(spread), "unit long, node long")
     met = _shared(spread_out)
     return met.join(materialise(met.groupBy("unit").agg(F.count("*").alias("n")), "similar-sizes"), "unit")
 
@@ -279,7 +283,7 @@ def _candidates(met: DataFrame, nodes: DataFrame, block: int = BLOCK, search: Ca
         if held:
             yield from flush(*held)
 
-    return full.repartition("unit").sortWithinPartitions("unit", *more, "node").mapInArrow(run, "src long, dst long, d long").distinct()
+    return full.repartition("unit").sortWithinPartitions("unit", *more, "node").mapInArrow(lean(run), "src long, dst long, d long").distinct()
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
@@ -291,14 +295,14 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
+            for at in range(0, whole.num_rows, _TEXTS):
+                b = whole.slice(at, _TEXTS)
                 found = [shingle_set(x, shingle).tobytes() for x in b.column(1).cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["node", "set"])
 
     # copies are let go before their texts are shuffled
     one = texts.join(sent, F.col("__hash") == F.col("rep")).groupBy("node").agg(F.first("__text").alias("__text"))
-    held = materialise(one.mapInArrow(sets, "node long, set binary"), "similar-sets")
+    held = materialise(one.mapInArrow(lean(sets), "node long, set binary"), "similar-sets")
     a = held.select(F.col("node").alias("src"), F.col("set").alias("a"))
     b = held.select(F.col("node").alias("dst"), F.col("set").alias("b"))
 
@@ -309,7 +313,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int
                 near = [similarity(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) >= least for x, y in zip(r.column(2), r.column(3), strict=True)]
                 yield r.select(["src", "dst"]).filter(pa.array(near, pa.bool_()))
 
-    return materialise(pairs.join(a, "src").join(b, "dst").select("src", "dst", "a", "b").mapInArrow(check, "src long, dst long"), "similar-links")
+    return materialise(pairs.join(a, "src").join(b, "dst").select("src", "dst", "a", "b").mapInArrow(lean(check), "src long, dst long"), "similar-links")
 
 
 def _common(nodes: DataFrame, texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -324,7 +328,7 @@ def _common(nodes: DataFrame, texts: DataFrame, shingle: int) -> tuple[np.ndarra
                     yield pa.RecordBatch.from_arrays([pa.array(s[i : i + (1 << 16)])], names=["shingle"])
 
     one = texts.join(F.broadcast(some), F.col("__hash") == F.col("rep")).groupBy("rep").agg(F.first("__text").alias("__text"))
-    counts = one.select("__text").mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
+    counts = one.select("__text").mapInArrow(lean(run), "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
     top = counts.where("n > 1").orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
     keys = top.column("shingle").to_numpy().view(np.uint64)
     order = np.argsort(keys)
@@ -347,8 +351,8 @@ def _rest(nodes: DataFrame, texts: DataFrame, roots: DataFrame, shingle: int, le
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = shared.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                sets = [shingle_set(x, shingle) for x in whole.slice(at, 512).column(0).cast(pa.binary()).to_pylist()]
+            for at in range(0, whole.num_rows, _TEXTS):
+                sets = [shingle_set(x, shingle) for x in whole.slice(at, _TEXTS).column(0).cast(pa.binary()).to_pylist()]
                 sets = [s for s in sets if s.size]
                 node = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets), np.uint64, len(sets)).view(np.int64)
                 parity = [np.packbits(np.bincount((s % np.uint64(BITS)).view(np.int64), minlength=BITS) & 1).tobytes() for s in sets]
@@ -358,7 +362,7 @@ def _rest(nodes: DataFrame, texts: DataFrame, roots: DataFrame, shingle: int, le
                     names=["node", "size", "print", "rare"],
                 )
 
-    made = texts.select("__text").mapInArrow(run, "node long, size long, print binary, rare array<long>")
+    made = texts.select("__text").mapInArrow(lean(run), "node long, size long, print binary, rare array<long>")
     made = materialise(made.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "print", "rare")]), "similar-rare")
     met = _shared(made.select(F.explode("rare").alias("unit"), "node"))
     rooted = met.join(roots.withColumnRenamed("component", "root"), "node", "left").select("unit", F.coalesce("root", "node").alias("root"))
