@@ -156,6 +156,11 @@ def test_reach(spark):
     assert values(graph.reach_of(spread, follow)) == [("u", 3)]
 
 
+def test_library_factors_beat_the_mean(spark):
+    """On these orders the error of three rounds about 0 is above the variance."""
+    assert values(learning.als_library(spark, "/root/testdata/sf0.1").select("users", "items", "factors", "better_than_mean")) == [(14_999, 20_000, 4, True)]
+
+
 def test_kmeans_objective_falls(spark):
     points = generators.kmeans_points(spark, 600, 4, 5).select("id", "point")
     x = np.array([r.point for r in points.orderBy("id").collect()])

@@ -198,9 +198,20 @@ def normal_equations(ratings: DataFrame, users: DataFrame, items: DataFrame, k:
     SELECT (SELECT count(DISTINCT u) FROM r) AS users, (SELECT count(DISTINCT i) FROM r) AS items, 4 AS factors, true AS better_than_mean""")
 def als_library(spark, sf_dir):
     """The library's blocked solver: its factors counted, and its error held against the mean's."""
+    return library_fit(order_ratings(spark, sf_dir))
+
+
+def library_fit(ratings: DataFrame) -> DataFrame:
+    """(users, items, factors, better_than_mean) of the library's model of (user, item, rating) about the mean.
+
+    The last half of a round is a ridge fit. Its error is at most that of factors of 0, which predict
+    the mean, so the model is the better one after any number of rounds; about 0 it may not be.
+    """
     from pyspark.ml.recommendation import ALS
 
-    ratings = order_ratings(spark, sf_dir).select(F.col("user").cast("int").alias("user"), F.col("item").cast("int").alias("item"), F.col("rating").cast("float").alias("rating"))
+    ratings = materialise(ratings.select(F.col("user").cast("int").alias("user"), F.col("item").cast("int").alias("item"), F.col("rating").cast("double").alias("rating")), "ratings")
+    mean = ratings.agg(F.avg("rating")).first()[0] or 0.0
+    ratings = ratings.withColumn("rating", (F.col("rating") - F.lit(mean)).cast("float"))
     model = ALS(rank=4, maxIter=3, regParam=0.1, userCol="user", itemCol="item", ratingCol="rating", seed=1, checkpointInterval=-1).fit(ratings)
     told = model.transform(ratings)
     better = F.avg(F.pow(F.col("prediction") - F.col("rating"), 2)) < F.var_pop("rating")
