@@ -1,6 +1,7 @@
 """Golden cases and properties of operators, functions, learners and streams."""
 
 import math
+import os
 import socket
 import struct
 import threading
@@ -326,6 +327,32 @@ def test_jdbc(spark, tmp_path):
     assert [tuple(r) for r in formats.read_jdbc(spark, url, 'SELECT * FROM users WHERE "id" = 2', driver).collect()] == [(2, "b")]
 
 
+def test_jdbc_with_executors_apart():
+    """An embedded database is open in one process only, so two executors can't fill and ask it."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+import sys, tempfile
+from pyspark.sql import SparkSession
+from wharfline.plans import connectors
+from wharfline.sources import formats
+folder = tempfile.mkdtemp(prefix="wharfline-")
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.checkpoint.dir", folder).config("spark.ui.enabled", "false").getOrCreate()
+assert connectors.jdbc_round_trip(spark, "{SF}").count() == spark.read.parquet("{SF}/orders.parquet").where("o_totalprice > 300000").count() > 0
+formats.FETCHED = 2
+rows = [(1, "a", None), (2, None, 0.5), (3, "c", 1.5), (4, "d", 2.5), (5, "e", 3.5)]
+df = spark.createDataFrame(rows, "id int, name string, x double")
+back = formats.through_embedded(df, "users", 'SELECT * FROM users WHERE "id" < 6')
+assert sorted(tuple(r) for r in back.collect()) == rows
+assert formats.through_embedded(df, "users", 'SELECT "name" FROM users WHERE "id" > 6').collect() == []
+spark.stop()
+"""
+    root = str(Path(__file__).resolve().parents[1])
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=170, env=os.environ | {"PYTHONPATH": root, "OPENBLAS_NUM_THREADS": "1"})
+
+
 def test_avro_types_and_nulls(spark, tmp_path):
     rows = [(1, -5, 1.5, 0.25, "é", True, bytearray(b"\x00x")), (None,) * 7, (-(2**63), 2**31 - 1, math.inf, -1.0, "", False, bytearray())]
     df = spark.createDataFrame(rows, "a long, b int, c double, d float, e string, f boolean, g binary")
