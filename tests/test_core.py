@@ -157,6 +157,25 @@ def test_reach(spark):
     assert values(graph.reach_of(spread, follow)) == [("u", 3)]
 
 
+def test_reach_by_blocks(spark, monkeypatch):
+    """Several blocks, hot things and tweeters, repeated pairs and nulls against plain sets; no step makes a row for each (url, follower)."""
+    monkeypatch.setattr(graph, "HELD", 7_000)
+    monkeypatch.setattr(graph, "STEP", 3_000)
+    rng = np.random.default_rng(5)
+    spread = [(int(u), int(t)) for u, t in zip(rng.integers(0, 300, 6_000), rng.integers(0, 90, 6_000), strict=True)] + [(7, t) for t in range(90)] * 2
+    follow = [(int(t), int(f)) for t, f in zip(rng.integers(20, 110, 15_000), rng.integers(0, 4_000, 15_000), strict=True)] + [(30, f) for f in range(4_000)]
+    by = {}
+    for t, f in follow:
+        by.setdefault(t, set()).add(f)
+    want = {}
+    for u, t in spread:
+        want.setdefault(u, set()).update(by.get(t, ()))
+    a = spark.createDataFrame([*spread, (None, 30), (5_000, None), (6_000, 3)], "url long, tweeter long")
+    b = spark.createDataFrame([*follow, (None, 1), (31, None)], "tweeter long, follower long")
+    got = {r.url: r.reach for r in graph.reach_of(a, b).collect()}
+    assert got == {u: len(fs) for u, fs in want.items() if fs} | {None: len(by[30])}
+
+
 def test_library_factors_beat_the_mean(spark):
     """On these orders the error of three rounds about 0 is above the variance."""
     assert values(learning.als_library(spark, "/root/testdata/sf0.1").select("users", "items", "factors", "better_than_mean")) == [(14_999, 20_000, 4, True)]
