@@ -117,6 +117,20 @@ def test_components(spark):
     assert got == {x: find(x) for x in list(root)}
 
 
+def test_rings_are_cut_before_the_rounds(spark, monkeypatch):
+    """A component's edges in a partition are as many as its nodes less one; small parts, loops and repeated edges."""
+    from wharfline.plans import components
+
+    monkeypatch.setattr(components, "AT_ONCE", 50)
+    rng = np.random.default_rng(11)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 60, (900, 2))] + [(90, 90), (70, 71), (71, 70), (70, 70), (91, 91), (91, 90)]
+    df = spark.createDataFrame(pairs, "u long, v long").coalesce(1)
+    assert values(components._forest(df)) == [(i, 0) for i in range(1, 60)] + [(71, 70), (91, 90)]
+    assert values(components._forest(spark.createDataFrame([(5, 5), (5, 5), (-1, -1)], "u long, v long").coalesce(1))) == [(-1, -1), (5, 5)]
+    whole = spark.createDataFrame(pairs, "src long, dst long").repartition(3)
+    assert values(connected_components(whole)) == [(i, 0) for i in range(60)] + [(70, 70), (71, 70), (90, 90), (91, 90)]
+
+
 def test_components_of_all_orders(spark):
     """Every order line is a link; union-find over the whole tables."""
     import pandas as pd

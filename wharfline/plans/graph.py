@@ -185,8 +185,8 @@ _BOUGHT = f"SELECT DISTINCT o_custkey AS a, {SHIFT} + l_partkey AS b FROM orders
 def components(spark, sf_dir):
     """Connected components of the graph of all customers and the parts they ordered."""
     orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    e = orders.join(items, orders.o_orderkey == items.l_orderkey).select(F.col("o_custkey").alias("src"), (F.col("l_partkey") + SHIFT).alias("dst")).distinct()
-    return connected_components(e)
+    e = orders.join(items, orders.o_orderkey == items.l_orderkey).select(F.col("o_custkey").alias("src"), (F.col("l_partkey") + SHIFT).alias("dst"))
+    return connected_components(e.repartitionByRange("src"))  # repeated pairs go with the rings
 
 
 _TWEETS = "t AS (SELECT DISTINCT l_partkey AS url, l_suppkey AS tweeter FROM lineitem WHERE l_quantity > 45), f AS (SELECT DISTINCT l_suppkey AS tweeter, o_custkey AS follower FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND l_discount > 0.07)"
