@@ -257,3 +257,27 @@ def test_workers_give_back_what_tasks_before_took(spark):
     del left
     held = own_mb()
     assert list(run(iter([]))) == [] and len(pinned) and held - own_mb() > 100
+
+
+def test_units_with_the_same_nodes_are_one(spark):
+    """Units that go on in later batches, single ones, and one that all nodes have."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        of = {1: [5, 6], 2: [6, 5], 3: [5, 6, 7], 4: [5], 5: list(range(20)), 6: list(range(20)), 7: [7, 6, 5], 8: [5, 7]}
+        rows = [(u, n) for u, ns in of.items() for n in ns]
+        met = similar._shared(spark.createDataFrame(rows, "unit long, node long").repartition(3)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r.unit, r.node, r.n) for r in met) == sorted((u, n, len(of[u])) for u in (1, 3, 5, 8) for n in of[u])
+
+
+def test_sketches_tell_large_sets_apart():
+    """No pair at 0.8 is left out; sets too large for 1,024 parities that have half or less in common are."""
+    rng = np.random.default_rng(9)
+    for n in (1, 7, 300, 5_000, 9_000, 40_000):
+        for share, similar_ones in ((1.0, True), (0.8, True), (0.5, False), (0.0, False)):
+            k = int(np.ceil(share * n))
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            b = np.unique(np.concatenate((a[:k], rng.integers(0, 1 << 63, (n - k) if share < 0.8 else 0, dtype=np.uint64))))
+            told = similar.may_be_similar(similar.sketch(a), similar.sketch(b), a.size + b.size)
+            assert told if similar_ones else not told or n < 300

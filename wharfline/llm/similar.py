@@ -25,7 +25,8 @@ n - ceil(LEAST * n) + 1 shingles in that order, n being a set's own size, have o
 in common. So each set is filed under these, and what meets there in unlike
 components is checked, unless the sizes, or the parities of the sets over
 ``BITS`` buckets, already tell that too many shingles differ; both are bounds that no
-similar pair exceeds. Which shingles are common is counted on about ``SAMPLED``
+similar pair exceeds; for large sets, whose parities over so few buckets tell
+nothing, they are taken again over two buckets an element. Which shingles are common is counted on about ``SAMPLED``
 sets; the order decides how much meets, never what is found. So the groups are
 those of all pairs, and a dense group, being one component by then, makes no
 pairs here.
@@ -119,6 +120,21 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return shared / (both.size - shared)
 
 
+def sketch(found: np.ndarray) -> bytes:
+    """Parities of a set over a power of two of buckets, two at least for each element."""
+    buckets = 1 << max(10, (2 * found.size - 1).bit_length())
+    return np.packbits(np.bincount((found & np.uint64(buckets - 1)).view(np.int64), minlength=buckets) & 1).tobytes()
+
+
+def may_be_similar(a: bytes, b: bytes, elements: int, least: float = LEAST) -> bool:
+    """False only if two sets with so many elements in all, told by their sketches, are less similar than ``least``."""
+    x, y = (np.frombuffer(k, np.uint8) for k in (a, b))
+    while x.size != y.size:  # of the longer one, buckets that are one in the shorter
+        x, y = sorted((x, y), key=len)
+        y = y[: y.size // 2] ^ y[y.size // 2 :]
+    return int(np.bitwise_count(x ^ y).sum()) <= elements * (1 - least) / (1 + least) + 1e-6
+
+
 def _prints(keyed: DataFrame, shingle: int) -> DataFrame:
     """(__id, __hash, node, print, weak) from (__id, __hash, __text); node is a hash of the set."""
 
@@ -138,25 +154,46 @@ def _prints(keyed: DataFrame, shingle: int) -> DataFrame:
     return keyed.mapInArrow(lean(run), f"__id {kind}, __hash long, node long, print binary, weak binary")
 
 
+def _mixed(nodes: np.ndarray, k: int) -> np.ndarray:
+    x = nodes.view(np.uint64) * _FACTORS[k]
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def _meeting(units: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
+    """(unit, node, n, x1, x2) of the sorted units with several nodes; x1 and x2 are sums without carry of two hashes of these."""
+    first = np.flatnonzero(np.concatenate(([True], units[1:] != units[:-1])))
+    n = np.diff(np.append(first, units.size))
+    on = np.repeat(n > 1, n)
+    units, nodes, n = units[on], nodes[on], n[n > 1]
+    first = np.cumsum(n) - n
+    told = [np.bitwise_xor.reduceat(_mixed(nodes, k), first).view(np.int64) if n.size else n for k in (0, 1)]
+    return pa.RecordBatch.from_arrays([pa.array(units), pa.array(nodes), *(pa.array(np.repeat(x, n)) for x in (n, *told))], names=["unit", "node", "n", "x1", "x2"])
+
+
 def _shared(filings: DataFrame) -> DataFrame:
-    """Those of (unit, node) whose unit others have as well."""
+    """(unit, node, n): those of (unit, node) whose unit n > 1 nodes have.
+
+    Texts much alike meet in most of their units; of units with the same nodes one is left, as its pairs are those of all.
+    """
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held, wide = None, [], False  # a unit may go on in the next batch
+        held: list = []  # of one unit, which may go on in the next batch
         for b in batches:
-            u, n = (np.concatenate([x, b.column(k).to_numpy()]) for k, x in enumerate(held)) if held else (b.column(0).to_numpy(), b.column(1).to_numpy())
-            if not u.size:
+            if not b.num_rows:
+                continue
+            held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+            if held[0][0][0] == held[-1][0][-1]:
                 continue
-            same = np.concatenate(([wide and u[0] == last], u[1:] == u[:-1]))
-            on = same | np.concatenate((same[1:], [False]))
-            on[-1] = True  # kept back until its neighbour is known
-            last, wide = u[-1], bool(same[-1])
-            held = [] if same[-1] else [u[-1:], n[-1:]]
-            keep = np.flatnonzero(on[: None if same[-1] else -1])
-            if keep.size:
-                yield pa.RecordBatch.from_arrays([pa.array(u[keep]), pa.array(n[keep])], names=["unit", "node"])
+            units, nodes = (np.concatenate(x) for x in zip(*held, strict=True))
+            last = int(np.searchsorted(units, units[-1]))
+            held = [(units[last:], nodes[last:])]
+            yield _meeting(units[:last], nodes[:last])
+        if held:
+            yield _meeting(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    return materialise(filings.repartition("unit").sortWithinPartitions("unit").mapInArrow(lean(meet), "unit long, node long"), "similar-met")
+    met = filings.repartition("unit").sortWithinPartitions("unit").mapInArrow(lean(meet), "unit long, node long, n long, x1 long, x2 long")
+    return materialise(met.groupBy("n", "x1", "x2", "node").agg(F.min("unit").alias("unit")).select("unit", "node", "n"), "similar-met")
 
 
 def _met(nodes: DataFrame) -> DataFrame:
@@ -171,8 +208,7 @@ def _met(nodes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(units.ravel()), pa.array(np.repeat(b.column(0).to_numpy(), units.shape[1]))], names=["unit", "node"])
 
     spread_out = nodes.where("print is not null").select("node", "print", "weak").mapInArrow(lean(spread), "unit long, node long")
-    met = _shared(spread_out)
-    return met.join(materialise(met.groupBy("unit").agg(F.count("*").alias("n")), "similar-sizes"), "unit")
+    return _shared(spread_out)
 
 
 def _near(units: np.ndarray, nodes: np.ndarray, prints: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -358,19 +394,29 @@ def _rest(nodes: DataFrame, texts: DataFrame, roots: DataFrame, shingle: int, le
                 parity = [np.packbits(np.bincount((s % np.uint64(BITS)).view(np.int64), minlength=BITS) & 1).tobytes() for s in sets]
                 rare = [rare_first(s, keys, counts, least).view(np.int64) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(node), pa.array([s.size for s in sets], pa.int64()), pa.array(parity, pa.binary()), pa.array(rare, pa.list_(pa.int64()))],
-                    names=["node", "size", "print", "rare"],
+                    [pa.array(node), pa.array([s.size for s in sets], pa.int64()), pa.array(parity, pa.binary()), pa.array(rare, pa.list_(pa.int64())), pa.array([sketch(s) for s in sets], pa.binary())],
+                    names=["node", "size", "print", "rare", "sketch"],
                 )
 
-    made = texts.select("__text").mapInArrow(lean(run), "node long, size long, print binary, rare array<long>")
-    made = materialise(made.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "print", "rare")]), "similar-rare")
+    made = texts.select("__text").mapInArrow(lean(run), "node long, size long, print binary, rare array<long>, sketch binary")
+    made = materialise(made.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "print", "rare", "sketch")]), "similar-rare")
     met = _shared(made.select(F.explode("rare").alias("unit"), "node"))
     rooted = met.join(roots.withColumnRenamed("component", "root"), "node", "left").select("unit", F.coalesce("root", "node").alias("root"))
-    units = rooted.groupBy("unit").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("z")).where("a != z").select("unit", "n")
+    units = rooted.groupBy("unit").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a != z").select("unit")
+    met = materialise(met.join(materialise(units, "similar-units"), "unit"), "similar-unlike")
     named = met.select("node").distinct().join(made.select("node", "size", "print"), "node").join(roots, "node", "left")
     named = materialise(named.select("node", "size", "print", F.coalesce("component", "node").alias("root")), "similar-rooted")
     search = functools.partial(_unlike, least=least)
-    return _candidates(met.join(materialise(units, "similar-units"), "unit"), named, block, search, ("size", "root"))
+    pairs = materialise(_candidates(met, named, block, search, ("size", "root")), "similar-near")
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [may_be_similar(x.as_py(), y.as_py(), n.as_py(), least) for x, y, n in zip(b.column(3), b.column(4), b.column(5), strict=True)]
+            yield b.select(["src", "dst", "d"]).filter(pa.array(ok, pa.bool_()))
+
+    ends = [made.select(F.col("node").alias(k), F.col("size").alias(f"{k}_size"), F.col("sketch").alias(f"{k}_sketch")) for k in ("src", "dst")]
+    both = pairs.join(ends[0], "src").join(ends[1], "dst").select("src", "dst", "d", "src_sketch", "dst_sketch", (F.col("src_size") + F.col("dst_size")).alias("elements"))
+    return both.mapInArrow(lean(bound), "src long, dst long, d long")
 
 
 def _connecting(pairs: DataFrame, known: DataFrame | None, nodes: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
