@@ -190,6 +190,28 @@ def test_reach_by_blocks(spark, monkeypatch):
     assert got == {u: len(fs) for u, fs in want.items() if fs} | {None: len(by[30])}
 
 
+def test_blocked_solutions(spark, monkeypatch):
+    """Blocks, small steps and users that go on in later batches against the normal equations one by one; factors are sent once a block."""
+    monkeypatch.setattr(learning, "PRODUCTS", 7)
+    rng = np.random.default_rng(2)
+    rows = [(int(u), int(i), float(r)) for u, i, r in zip(rng.integers(-9, 40, 400), rng.integers(0, 30, 400), rng.random(400), strict=True)] + [(5, i, 1.0) for i in range(30)]
+    f = {i: rng.random(3) for i in range(30)}
+    ratings = spark.createDataFrame(rows, "user long, item long, rating double")
+    factors = spark.createDataFrame([(i, x.tolist()) for i, x in f.items()], "id long, f array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 11)
+    try:
+        dealt = learning._dealt(ratings, "user", "item", 3)
+        got = {r.id: r.f for r in learning._solve(dealt, factors, 3, 3, 0.1).collect()}
+        assert dealt[1].count() == dealt[1].distinct().count() <= 90
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(got) == {u for u, _, _ in rows}
+    for u, x in got.items():
+        own = [(f[i], r) for v, i, r in rows if v == u]
+        a = sum(np.outer(y, y) for y, _ in own) + 0.1 * len(own) * np.eye(3)
+        assert np.allclose(x, np.linalg.solve(a, sum(y * r for y, r in own)))
+
+
 def test_library_factors_beat_the_mean(spark):
     """On these orders the error of three rounds about 0 is above the variance."""
     assert values(learning.als_library(spark, "/root/testdata/sf0.1").select("users", "items", "factors", "better_than_mean")) == [(14_999, 20_000, 4, True)]
